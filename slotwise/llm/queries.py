@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.llm.bpe import op1_bpe
+from slotwise.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from slotwise.llm.mixing import op5_mixing
+from slotwise.llm.sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_mixing": op5_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
