@@ -10,12 +10,16 @@ from slotwise.llm.bpe import op1_bpe
 from slotwise.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from slotwise.llm.mixing import op5_mixing
 from slotwise.llm.sharding import op9_sharding
+from slotwise.llm.simhash import op10_simhash
+from slotwise.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
