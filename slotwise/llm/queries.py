@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slotwise.llm.ann import op4_ann
 from slotwise.llm.bpe import op1_bpe
 from slotwise.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from slotwise.llm.mixing import op5_mixing
@@ -15,6 +16,7 @@ from slotwise.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_ann": op4_ann,
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
