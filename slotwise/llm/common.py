@@ -52,17 +52,19 @@ def ordered(df: DataFrame, *order) -> DataFrame:
     return checkpointed(out).withColumn("_pid", F.shiftright("_pos", 33))
 
 
-def prefix_sums(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Adds to ``rows`` (from ``ordered``) the sum of ``value`` over the earlier rows of the same group.
+def prefix_sums(rows: DataFrame, group: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds to ``rows`` (from ``ordered``), by name in ``sums``, the sum of a column over the earlier rows of the group.
 
     Sums run inside range partitions; one row a partition and group then carries the totals across, so a
     group that holds most rows is still spread over all partitions.  Group columns must not be null.
     """
     inside = W.partitionBy("_pid", *group).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
     across = W.partitionBy(*group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy("_pid", *group).agg(F.sum(value).alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(across), F.lit(0)))
-    local = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(totals.drop("_t"), ["_pid", *group]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
+    totals = rows.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    before = totals.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    local = rows.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{n}") for n, v in sums.items()])
+    out = local.join(before, ["_pid", *group]).withColumns({n: F.col(f"_i_{n}") + F.col(f"_b_{n}") for n in sums})
+    return out.drop(*[f"_{x}_{n}" for n in sums for x in "ib"])
 
 
 def row_numbers(rows: DataFrame, name: str) -> DataFrame:

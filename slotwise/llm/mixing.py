@@ -112,7 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     partial = (F.col("_r") == F.col("_slots") - 1) & (F.col("_more") > 0)
     blocks = taken.groupBy("none", "src", "block").agg(F.count(F.when(~partial, 1)).alias("times"), F.coalesce(F.max(F.when(partial, F.col("_cut"))), F.lit(0)).alias("cut"))
 
-    laid = prefix_sums(ordered(rows, "none", "src", "id", "size", "_rk"), ["none", "src"], "size", "_at")
+    laid = prefix_sums(ordered(rows, "none", "src", "id", "size", "_rk"), ["none", "src"], {"_at": "size"})
     first, last = F.floor(F.col("_at") / block_words).cast("long"), F.floor((F.col("_at") + F.col("size") - 1) / block_words).cast("long")
     spans = laid.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("block") * block_words, F.col("_at"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slotwise.llm.ann import op4_ann
 from slotwise.llm.bpe import op1_bpe
+from slotwise.llm.chat import OP2_SQL, op2_chat
 from slotwise.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from slotwise.llm.mixing import op5_mixing
 from slotwise.llm.sharding import op9_sharding
@@ -16,6 +17,7 @@ from slotwise.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_chat": op2_chat,
     "op4_ann": op4_ann,
     "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
@@ -24,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op7_exact_dedup": OP7_SQL}
