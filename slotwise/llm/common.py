@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +26,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a
     temporary one is made.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slotwise-checkpoint-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; see ``checkpointed``."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slotwise-checkpoint-"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a Parquet table in the shared folder and read again: smaller than a checkpoint.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/slotwise-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_row_key(df: DataFrame, name: str = "_rk") -> DataFrame:
     """Adds a key that names the same row each time the same input is read.
 
