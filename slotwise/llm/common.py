@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import math
+import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space bytes that separate words.
 WS = r"\x20\x09-\x0D"
 WALK = 64
+#: Text bytes in a bucket of packed documents, buckets at least, and bytes that a task holds before it sends its packs.
+BUCKET_BYTES, LEAST_BUCKETS, HELD_BYTES = 8 << 20, 24, 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +108,45 @@ def row_numbers(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "_pid").withColumn(name, F.col("_before") + F.col("_pos").bitwiseAND((1 << 33) - 1)).drop("_before")
 
 
+def bucket_count(docs: DataFrame, text_col: str) -> int:
+    """Buckets of BUCKET_BYTES of text each, LEAST_BUCKETS at least."""
+    return max(LEAST_BUCKETS, math.ceil((docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / BUCKET_BYTES))
+
+
+def packed(docs: DataFrame, bucket: Column) -> DataFrame:
+    """(b, pack): the rows of a bucket as compressed lists of tuples, which shuffle at a fraction of the texts' size.
+
+    Strings in the last column go as bytes (null as none); ``unpacked`` gives the tuples back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size, press = 0, zstandard.ZstdCompressor(level=3).compress
+
+        def out() -> pa.RecordBatch:
+            packs = [press(pickle.dumps(v, protocol=5)) for v in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packs, pa.binary())], ["b", "pack"])
+
+        for batch in batches:
+            firsts = [c.to_pylist() for c in batch.columns[:-1]]
+            for *values, text in zip(*firsts, batch.columns[-1]):
+                data = (text.as_py() or "").encode()
+                held.setdefault(values[0], []).append((*values[1:], data))
+                size += len(data) + 64
+                if size > HELD_BYTES:
+                    yield out()
+                    held, size = {}, 0
+        if held:
+            yield out()
+
+    return docs.select(bucket.cast("int").alias("_b"), "*").mapInArrow(run, "b int, pack binary")
+
+
+def unpacked(packs: pa.Table) -> Iterator[tuple]:
+    for pack in packs.column("pack"):
+        yield from pickle.loads(zstandard.decompress(pack.as_py(), max_output_size=1 << 31))
+
+
 def _shape(n: Column) -> tuple[Column, Column]:
     a = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("long")
     return a, F.greatest(F.ceil(n.cast("double") / a), F.lit(1)).cast("long")

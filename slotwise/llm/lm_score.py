@@ -11,21 +11,16 @@ back, so neither a table of all n-grams nor a row per document and n-gram is eve
 
 from __future__ import annotations
 
-import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import checkpointed, stored, table
+from slotwise.llm.common import bucket_count, checkpointed, packed, stored, table, unpacked
 
 ORDER, BITS, END, VOCABULARY = 5, 9, 257, 257
-#: Text bytes in a bucket, buckets at least, and bytes that a task holds before it sends its packs.
-BUCKET_BYTES, LEAST_BUCKETS, HELD_BYTES = 8 << 20, 24, 48 << 20
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -63,37 +58,6 @@ class _Counts:
             self.new, self.held = [], 0
 
 
-def packed(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """(b, pack): the documents of a bucket, by hash of the id, as compressed lists of ids and texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size, press = 0, zstandard.ZstdCompressor(level=3).compress
-
-        def out() -> pa.RecordBatch:
-            packs = [press(pickle.dumps(v, protocol=5)) for v in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packs, pa.binary())], ["b", "pack"])
-
-        for batch in batches:
-            for b, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = (text.as_py() or "").encode()
-                held.setdefault(b, []).append((key, data))
-                size += len(data) + 64
-                if size > HELD_BYTES:
-                    yield out()
-                    held, size = {}, 0
-        if held:
-            yield out()
-
-    b = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("b")
-    return docs.select(b, F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "b int, pack binary")
-
-
-def _documents(t: pa.Table) -> Iterator[tuple]:
-    for pack in t.column("pack"):
-        yield from pickle.loads(zstandard.decompress(pack.as_py(), max_output_size=1 << 31))
-
-
 def losses(counts: DataFrame) -> DataFrame:
     """(g, lt, lb): negative log probabilities of a gram's last token in the target and background models.
 
@@ -123,9 +87,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     A null text counts as empty, of which only the end mark is scored.  Rows of one id all count.  Without
     targets the target model knows nothing but the vocabulary.  An empty table gives no rows.
     """
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_BYTES))
-    packs = packed(docs, buckets, id_col, text_col)
+    buckets = bucket_count(docs, text_col)
+    packs = packed(docs.select(id_col, text_col), F.pmod(F.xxhash64(id_col), F.lit(buckets)))
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = targets.select(F.col("id").cast(kind).alias("id")).filter("id is not null").distinct()
     wanted = wanted.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("b"), "id")
@@ -133,7 +96,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         chosen = set(right.column("id").to_pylist())
         every, target = _Counts(), _Counts()
-        for key, text in _documents(left):
+        for key, text in unpacked(left):
             keys = grams(text)
             every.add(keys)
             if key in chosen:
@@ -154,7 +117,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         order = np.argsort(g)
         g, lt, lb = g[order], right.column("lt").to_numpy()[order], right.column("lb").to_numpy()[order]
         rows = []
-        for key, text in _documents(left):
+        for key, text in unpacked(left):
             at = np.searchsorted(g, grams(text))
             rows.append((key, len(at), float(lt[at].sum()) / len(at), float(lb[at].sum()) / len(at)))
         cols = list(zip(*rows)) or [[], [], [], []]

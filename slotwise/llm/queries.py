@@ -14,11 +14,13 @@ from slotwise.llm.lm_score import op6_lm_score
 from slotwise.llm.mixing import op5_mixing
 from slotwise.llm.sharding import op9_sharding
 from slotwise.llm.simhash import op10_simhash
+from slotwise.llm.suffix_dedup import op3_suffix_dedup
 from slotwise.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ann": op4_ann,
     "op5_mixing": op5_mixing,
     "op6_lm_score": op6_lm_score,
