@@ -24,6 +24,8 @@ from slotwise.llm.common import table
 SAMPLE_ROWS, LEXICON_SIZE, THRESHOLD = 20_000, 20_000, 0.3
 TREES, DEPTH, RATE, BINS, LEAF_ROWS, RIDGE = 80, 3, 0.15, 32, 5, 1.0
 PREFIXES = (4, 5)
+#: Left neighbours that are enough for a term, and remembered at most by a task.
+PLACES = 16
 CACHE_WORDS = 200_000
 #: Second-person forms of the corpus's languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -202,7 +204,8 @@ def is_held_out(id_col: str = "doc_id"):
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, kind, toxic, other, places) over (text, toxic): documents of either class, and left neighbours in toxic ones.
 
-    ``places`` adds up, per task, distinct left neighbours: words that only come from copies of one text have few.
+    ``places`` adds up, per task, distinct left neighbours: words that only come from copies of one text
+    have few.  No task looks for more than PLACES, which are enough for any term.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +220,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 if label.as_py():
                     for before, w in zip(["", *words], words):
                         for term in ((w, 0), *((w[:n], n) for n in PREFIXES if len(w) >= n)):
-                            if len(places[term]) < 64:
+                            if len(places[term]) < PLACES:
                                 places[term].add(hash(before))
         keys = [k for k in toxic.keys() | other.keys() if k[0]]
         yield pa.RecordBatch.from_arrays([
@@ -240,7 +243,7 @@ def lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> tuple[frozenset, froze
     terms = max(counts.count(), 1)
     t, c = F.col("toxic"), F.col("other")
     llr = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
-    chosen = counts.filter((t / (t + c) > 0.5) & (F.col("places") * 2 > t) & (llr > math.log(terms) + 3)).orderBy(llr.desc(), "term", "kind").limit(size).collect()
+    chosen = counts.filter((t / (t + c) > 0.5) & (F.col("places") >= F.least(t / 2, F.lit(PLACES))) & (llr > math.log(terms) + 3)).orderBy(llr.desc(), "term", "kind").limit(size).collect()
     counts.unpersist()
     return frozenset(r["term"] for r in chosen if r["kind"] == 0), frozenset(r["term"] for r in chosen if r["kind"])
 
