@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of a worker's caches: pieces in either generation, bytes of a kept piece, pairs of tokens.
-CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 250_000, 48, 400_000
+CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 150_000, 48, 200_000
 _packed: dict[str, "_Packed"] = {}
 
 

@@ -26,7 +26,9 @@ TREES, DEPTH, RATE, BINS, LEAF_ROWS, RIDGE = 80, 3, 0.15, 32, 5, 1.0
 PREFIXES = (4, 5)
 #: Left neighbours that are enough for a term, and remembered at most by a task.
 PLACES = 16
-CACHE_WORDS = 200_000
+#: Terms that a task holds before it sends their counts.
+HELD_TERMS = 150_000
+CACHE_WORDS = 100_000
 #: Second-person forms of the corpus's languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 #: Characters that stand for letters in disguised words.
@@ -210,23 +212,33 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, other, places = defaultdict(int), defaultdict(int), defaultdict(set)
+
+        def out() -> pa.RecordBatch:
+            keys = [k for k in toxic.keys() | other.keys() if len(k) > 1]
+            columns = [
+                pa.array([k[1:] for k in keys], pa.string()), pa.array([int(k[0]) for k in keys], pa.int32()), pa.array([toxic.get(k, 0) for k in keys], pa.int64()),
+                pa.array([other.get(k, 0) for k in keys], pa.int64()), pa.array([len(places.get(k, ())) for k in keys], pa.int64()),
+            ]
+            for d in (toxic, other, places):
+                d.clear()
+            return pa.RecordBatch.from_arrays(columns, ["term", "kind", "toxic", "other", "places"])
+
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
                 words = [plain(w) for w in (text.as_py() or "").split()]
-                terms = {(w, 0) for w in words} | {(w[:n], n) for w in set(words) for n in PREFIXES if len(w) >= n}
+                starts = [[f"0{w}", *(f"{n}{w[:n]}" for n in PREFIXES if len(w) >= n)] for w in words]
                 counts = toxic if label.as_py() else other
-                for term in terms:
+                for term in {t for s in starts for t in s}:
                     counts[term] += 1
                 if label.as_py():
-                    for before, w in zip(["", *words], words):
-                        for term in ((w, 0), *((w[:n], n) for n in PREFIXES if len(w) >= n)):
+                    for before, terms in zip(["", *words], starts):
+                        near = hash(before) & 0xFFFF
+                        for term in terms:
                             if len(places[term]) < PLACES:
-                                places[term].add(hash(before))
-        keys = [k for k in toxic.keys() | other.keys() if k[0]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([toxic.get(k, 0) for k in keys], pa.int64()),
-            pa.array([other.get(k, 0) for k in keys], pa.int64()), pa.array([len(places.get(k, ())) for k in keys], pa.int64()),
-        ], ["term", "kind", "toxic", "other", "places"])
+                                places[term].add(near)
+                if len(toxic) + len(other) > HELD_TERMS:
+                    yield out()
+        yield out()
 
     parts = rows.select("text", "toxic").mapInArrow(run, "term string, kind int, toxic long, other long, places long")
     return parts.groupBy("term", "kind").agg(*[F.sum(c).alias(c) for c in ("toxic", "other", "places")])
