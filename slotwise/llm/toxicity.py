@@ -9,6 +9,7 @@ fits the calibration on rows that the trees have not seen.  The third scores eve
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -232,7 +233,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                     counts[term] += 1
                 if label.as_py():
                     for before, terms in zip(["", *words], starts):
-                        near = hash(before) & 0xFFFF
+                        near = zlib.crc32(before.encode()) & 0xFFFF
                         for term in terms:
                             if len(places[term]) < PLACES:
                                 places[term].add(near)
