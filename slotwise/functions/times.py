@@ -20,7 +20,7 @@ _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 def local_us(ts: Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session's time zone."""
     seconds = F.extract(F.lit("SECOND"), ts).cast("decimal(18,6)") * 1_000_000
-    return F.unix_date(ts.cast("date")).cast("long") * DAY_US + F.hour(ts) * F.lit(3_600_000_000) + F.minute(ts) * F.lit(60_000_000) + seconds.cast("long")
+    return F.unix_date(ts.cast("date")).cast("long") * DAY_US + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000 + seconds.cast("long")
 
 
 def from_us(us: Column) -> Column:
