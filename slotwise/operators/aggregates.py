@@ -122,6 +122,9 @@ def within_bytes(lines: DataFrame, by: list[str], budget: int) -> DataFrame:
     size = F.octet_length("line") + 1
     used = F.sum(size).over(W.partitionBy(*by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
     rows = lines.withColumn("_left", budget - (used - size)).filter("_left > 0")
-    cut = F.decode(F.substring(F.col("line").cast("binary"), F.lit(1), F.col("_left").cast("int")), "UTF-8")
-    whole = F.octet_length("line") <= F.col("_left")
-    return rows.withColumn("line", F.when(whole, F.col("line")).otherwise(F.regexp_replace(cut, "�+$", ""))).drop("_left")
+    data, left = F.col("line").cast("binary"), F.col("_left").cast("int")
+    # A cut before a continuation byte (80 to BF) goes back to the start of its character.
+    inside = lambda k: F.hex(F.substring(data, left - k + 1, F.lit(1))).between("80", "BF")
+    n = left - F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    whole = F.octet_length("line") <= left
+    return rows.withColumn("line", F.when(whole, F.col("line")).otherwise(F.decode(F.substring(data, F.lit(1), F.when(whole, 0).otherwise(n)), "UTF-8"))).drop("_left")
