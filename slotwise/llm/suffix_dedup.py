@@ -12,6 +12,9 @@ their anchors at equal offsets.  A run of windows with one anchor, and the bytes
    before them read backwards.  It is merge-scanned against each level: lengths of common prefixes of
    neighbours tell for every window which other ones are equal, byte by byte.  Then the batch becomes
    a level, and levels of about equal size are merged, so there are few of them.
+   Where very many contexts have one fingerprint, as in a large group of near copies, each is cut into
+   parts of BAND window starts, counted from the anchor.  A part's windows share more bytes, whose hash
+   deals the parts out, so equal windows still meet and the group spreads over many tasks.
 3. The windows found go back to all occurrences of their contexts, and to the documents.
 """
 
@@ -23,14 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import bucket_count, packed, stored, table, unpacked, with_row_key
 
 LENGTH, REACH, GRAM = 400, 256, 16
-#: Contexts in a batch of the index.
-BATCH = 4096
+#: Contexts in a batch of the index; contexts of one fingerprint from which they are split, and window starts in a part.
+BATCH, HOT, BAND = 4096, 512, 32
 #: Odd multipliers of the hashes, and the seed of their byte table.
 _A, _B, _C, _SEED = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 7))
 _table = np.random.default_rng(int(_SEED)).integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -202,40 +204,51 @@ def _occurrences(rows: DataFrame, length: int, reach: int, distinct: bool) -> Da
 
 
 def candidates(rows: DataFrame, length: int, reach: int) -> DataFrame:
-    """(fp, context, n, k): contexts of fingerprints that come more than once; k contexts of one fingerprint differ."""
-    seen = _occurrences(rows, length, reach, True).repartition("fp")
+    """(fp, context, n, k): contexts of fingerprints that come more than once; k contexts of one fingerprint differ.
+
+    Both counts combine on the map side, and the join back can be split, so no fingerprint weighs on one task.
+    """
+    seen = _occurrences(rows, length, reach, True)
     merged = seen.groupBy("fp", "c1", "c2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("f", "i", "p")])
-    of = W.partitionBy("fp")
-    return merged.select("*", F.count(F.lit(1)).over(of).alias("k"), F.sum("n").over(of).alias("all")).filter("all > 1").drop("all")
+    of = merged.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).filter("all > 1").drop("all")
+    return merged.join(of, "fp")
 
 
 def found_windows(different: DataFrame, packs: DataFrame, buckets: int, length: int, reach: int) -> DataFrame:
     """(c1, c2, lo, hi): runs of windows, from the context's first, that equal a window of another context."""
-    wanted = different.select(F.pmod(F.xxhash64("f", "i"), F.lit(buckets)).cast("int").alias("b"), "fp", "c1", "c2", "f", "i", "p")
+    wanted = different.select(F.pmod(F.xxhash64("f", "i"), F.lit(buckets)).cast("int").alias("b"), "fp", "c1", "c2", "f", "i", "p", "k")
+    split = HOT
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {n: right.column(n).to_pylist() for n in ("fp", "c1", "c2", "f", "i", "p")}
+        columns = {n: right.column(n).to_pylist() for n in ("fp", "c1", "c2", "f", "i", "p", "k")}
         of: dict[tuple, list[int]] = {}
         for r, key in enumerate(zip(columns["f"], columns["i"])):
             of.setdefault(key, []).append(r)
-        at, data = [], []
+        at, keys, places, data = [], [], [], []
         for f, i, _, text in unpacked(left) if right.num_rows else ():
             for r in of.get((f, i), ()):
                 p = columns["p"][r]
-                at.append(r)
-                data.append(text[p >> 20 : (p >> 20) + (p & 1023) + length])
+                first, ahead, more = p >> 20, p >> 10 & 1023, p & 1023
+                x, least = first + ahead, ahead - more  # windows begin least to ahead bytes before the anchor
+                wide = columns["k"][r] <= split
+                for band in [0] if wide else range(least // BAND, ahead // BAND + 1):
+                    lo, hi = (least, ahead) if wide else (max(least, band * BAND), min(ahead, band * BAND + BAND - 1))
+                    shared = b"" if wide else text[x - band * BAND : x - band * BAND - BAND + 1 + length]
+                    at.append(r)
+                    keys.append(columns["fp"][r] if wide else int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=band.to_bytes(2, "little")).digest(), "little", signed=True))
+                    places.append((ahead - hi) << 20 | hi << 10 | (hi - lo))
+                    data.append(text[x - hi : x - lo + length])
         take = lambda n: pa.array([columns[n][r] for r in at], pa.int64())
-        return pa.table({"fp": take("fp"), "c1": take("c1"), "c2": take("c2"), "p": take("p"), "data": pa.array(data, pa.binary())})
+        return pa.table({"fp": pa.array(keys, pa.int64()), "c1": take("c1"), "c2": take("c2"), "p": pa.array(places, pa.int64()), "data": pa.array(data, pa.binary())})
 
     cuts = packs.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(cut, "fp long, c1 long, c2 long, p long, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, names, held, spans = LevelledIndex(length, reach), [], [], []
+        index, names, held = LevelledIndex(length, reach), [], []
         for batch in batches:
             for c1, c2, p, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                names.append((c1, c2))
-                spans.append((p & 1023) + 1)
-                held.append((data.as_py(), p >> 10 & 1023, spans[-1]))
+                names.append((c1, c2, p >> 20))
+                held.append((data.as_py(), p >> 10 & 1023, (p & 1023) + 1))
                 if len(held) == BATCH:
                     index.add(held)
                     held = []
@@ -245,8 +258,8 @@ def found_windows(different: DataFrame, packs: DataFrame, buckets: int, length:
             edge = np.diff(index.found.astype(np.int8), axis=1, prepend=0, append=0)
             row, lo = np.nonzero(edge == 1)
             _, hi = np.nonzero(edge == -1)
-            key = np.array(names, np.int64)[row].reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64) - 1)], ["c1", "c2", "lo", "hi"])
+            key = np.array(names, np.int64)[row].reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(key[:, 2] + lo), pa.array(key[:, 2] + hi - 1)], ["c1", "c2", "lo", "hi"])
 
     return cuts.repartition("fp").mapInArrow(run, "c1 long, c2 long, lo long, hi long")
 
