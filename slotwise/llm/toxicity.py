@@ -23,10 +23,10 @@ from slotwise.llm.common import table
 
 #: Labelled rows to fit on at most, lexicon entries kept at most, and score from which a text counts as toxic.
 SAMPLE_ROWS, LEXICON_SIZE, THRESHOLD = 20_000, 20_000, 0.3
-TREES, DEPTH, RATE, BINS, LEAF_ROWS, RIDGE = 80, 3, 0.15, 32, 5, 1.0
+TREES, DEPTH, RATE, BINS, LEAF_ROWS, RIDGE = 80, 3, 0.15, 32, 10, 1.0
 PREFIXES = (4, 5)
-#: Left neighbours that are enough for a term, and remembered at most by a task.
-PLACES = 16
+#: Of 64 marks for groups of similar texts, how many a term must have for all its documents to count.
+GROUPS = 48
 #: Terms that a task holds before it sends their counts.
 HELD_TERMS = 150_000
 CACHE_WORDS = 100_000
@@ -36,7 +36,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 DISGUISE = str.maketrans("013457@$!|", "oieastasil")
 WORD_HIT, PREFIX_HIT, PERSON, OBFUSCATED, CAPITALS = 1, 2, 4, 8, 16
 NEAR = 5
-N_FEATURES = 16
+N_FEATURES = 14
 
 
 def plain(token: str) -> str:
@@ -111,7 +111,7 @@ def features(text: str | None, codes: _Codes) -> list[float]:
     return [
         words / n, math.log1p(words), starts / n, math.log1p(starts), len(hit) / n, near / n, near / max(1, len(hit)), len(person) / n,
         float(bytes_of[_UPPER].sum()) / size, of(CAPITALS) / n, float(bytes_of[_PUNCT].sum()) / size, float(bytes_of[33]) / size, float(bytes_of[_DIGIT].sum()) / size,
-        of(OBFUSCATED) / n, math.log1p(n), size / n,
+        of(OBFUSCATED) / n,
     ]
 
 
@@ -178,8 +178,9 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             mean, n2, _, last = blocks.pop()
             b = blocks[-1]
             b[0], b[1], b[3] = (b[0] * b[1] + mean * n2) / (b[1] + n2), b[1] + n2, last
-    # Shrunk towards the middle by one half row a block, so that small pure blocks don't claim certainty.
-    knots = [(r, (b[0] * b[1] + 0.5 * 0.5) / (b[1] + 0.5)) for b in blocks for r in dict.fromkeys((b[2], b[3]))]
+    # Shrunk towards the mean by one row a block, so that small pure blocks don't claim certainty.
+    base = float(y.mean())
+    knots = [(r, (b[0] * b[1] + base) / (b[1] + 1)) for b in blocks for r in dict.fromkeys((b[2], b[3]))]
     return np.array([k[0] for k in knots]), np.maximum.accumulate([k[1] for k in knots])
 
 
@@ -205,24 +206,25 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, kind, toxic, other, places) over (text, toxic): documents of either class, and left neighbours in toxic ones.
+    """(term, kind, toxic, other, groups) over (text, toxic): documents of either class, and groups of similar toxic ones.
 
-    ``places`` adds up, per task, distinct left neighbours: words that only come from copies of one text
-    have few.  No task looks for more than PLACES, which are enough for any term.
+    A text's group is its lowest word hash, which copies and near copies mostly share, so that the words
+    of one text that was copied often do not look like words of many.  Groups are 64 marks, united over all
+    tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other, places = defaultdict(int), defaultdict(int), defaultdict(set)
+        toxic, other, groups = defaultdict(int), defaultdict(int), defaultdict(int)
 
         def out() -> pa.RecordBatch:
             keys = [k for k in toxic.keys() | other.keys() if len(k) > 1]
             columns = [
                 pa.array([k[1:] for k in keys], pa.string()), pa.array([int(k[0]) for k in keys], pa.int32()), pa.array([toxic.get(k, 0) for k in keys], pa.int64()),
-                pa.array([other.get(k, 0) for k in keys], pa.int64()), pa.array([len(places.get(k, ())) for k in keys], pa.int64()),
+                pa.array([other.get(k, 0) for k in keys], pa.int64()), pa.array(np.array([groups.get(k, 0) for k in keys], np.uint64).view(np.int64)),
             ]
-            for d in (toxic, other, places):
+            for d in (toxic, other, groups):
                 d.clear()
-            return pa.RecordBatch.from_arrays(columns, ["term", "kind", "toxic", "other", "places"])
+            return pa.RecordBatch.from_arrays(columns, ["term", "kind", "toxic", "other", "groups"])
 
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
@@ -232,17 +234,15 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 for term in {t for s in starts for t in s}:
                     counts[term] += 1
                 if label.as_py():
-                    for before, terms in zip(["", *words], starts):
-                        near = zlib.crc32(before.encode()) & 0xFFFF
-                        for term in terms:
-                            if len(places[term]) < PLACES:
-                                places[term].add(near)
+                    group = min((zlib.crc32(w.encode()) for w in words), default=0)
+                    for term in {t for s in starts for t in s}:
+                        groups[term] |= 1 << (group * 0x9E3779B1 >> 8 & 63)
                 if len(toxic) + len(other) > HELD_TERMS:
                     yield out()
         yield out()
 
-    parts = rows.select("text", "toxic").mapInArrow(run, "term string, kind int, toxic long, other long, places long")
-    return parts.groupBy("term", "kind").agg(*[F.sum(c).alias(c) for c in ("toxic", "other", "places")])
+    parts = rows.select("text", "toxic").mapInArrow(run, "term string, kind int, toxic long, other long, groups long")
+    return parts.groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("groups")).cast("long").alias("groups"))
 
 
 def lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> tuple[frozenset, frozenset]:
@@ -254,9 +254,9 @@ def lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> tuple[frozenset, froze
     share = by[1] / (by[0] + by[1])
     counts = term_counts(rows).filter("toxic >= 3").persist()
     terms = max(counts.count(), 1)
-    t, c = F.col("toxic"), F.col("other")
+    t, c = F.when(F.col("groups") < GROUPS, F.least("toxic", "groups")).otherwise(F.col("toxic")), F.col("other")
     llr = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
-    chosen = counts.filter((t / (t + c) > 0.5) & (F.col("places") >= F.least(t / 2, F.lit(PLACES))) & (llr > math.log(terms) + 3)).orderBy(llr.desc(), "term", "kind").limit(size).collect()
+    chosen = counts.filter((t / (t + c) > 0.5) & (llr > math.log(terms) + 3)).orderBy(llr.desc(), "term", "kind").limit(size).collect()
     counts.unpersist()
     return frozenset(r["term"] for r in chosen if r["kind"] == 0), frozenset(r["term"] for r in chosen if r["kind"])
 
