@@ -197,7 +197,7 @@ k AS (SELECT c.*, (SELECT count(*) FROM f WHERE f.slot = c.slot AND f.cut > 0 AN
 
 @query("l04_lifecycles", BASE.replace("WITH e", "WITH RECURSIVE e") + _FOLD + "SELECT slot, CAST(life AS INTEGER) AS lifecycle_index, min(start_us) AS start_us, max(end_us) AS end_us, CAST(sum(log_count) AS BIGINT) AS log_count, count(*) AS candidates FROM k GROUP BY ALL")
 def l04(spark, d):
-    lives = event_lifecycles(spark, d).lifecycles.filter("scope = 'board'")
+    lives = lifecycle.board_lifecycles(event_entries(spark, d), RELIABLE, (), GAP_S * 1_000_000)
     return lives.select("slot", "lifecycle_index", "start_us", "end_us", "log_count", F.size("candidate_indices").cast("long").alias("candidates"))
 
 

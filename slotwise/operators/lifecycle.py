@@ -125,6 +125,11 @@ def _scope_lifecycles(rows: DataFrame, scope: list[str], name: str, reliable: li
     return candidates.select(F.lit(name).alias("scope"), "*"), decisions, proof, lives.select(F.lit(name).alias("scope"), "*"), named
 
 
+def board_lifecycles(entries: DataFrame, reliable: tuple[str, ...] = (), multi: tuple[str, ...] = (), gap_us: int = SILENT_GAP_US) -> DataFrame:
+    """(slot, lifecycle_index, candidate_indices, start_us, end_us, log_count) where CPUs are of no interest."""
+    return _scope_lifecycles(timed(entries), ["slot"], "board", list(reliable), list(multi), F.col("cpu_id") == "", gap_us)[3]
+
+
 def lifecycle_id(scope: str, slot: Column, cpu: Column, parent: Column, index: Column) -> Column:
     return F.concat_ws(":", F.lit(scope), slot, cpu, parent, F.lit("lifecycle"), index.cast("string"))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from slotwise.functions import times
 from slotwise.operators import correlate, entries, extract, lifecycle
 from slotwise.operators.aggregates import coverage, slot_table
+from slotwise.plans.plugins import MechanismRunner, load
 from slotwise.sources.archive import read_package
-from slotwise.sources.config import Mechanism, Product, execution_order
+from slotwise.sources.config import KINDS, Mechanism, Product, execution_order
 from slotwise.sources.discovery import discovered, log_lines
 from slotwise.storage import cut
 
@@ -87,7 +88,11 @@ def parse(spark: SparkSession, package: str | DataFrame, product: Product) -> Pa
             out[m.key] = MechanismResult(m.key, "skipped", f"dependencies without result: {missing}")
             continue
         try:
-            if m.kind == "lifecycle":
+            if m.kind not in KINDS:
+                runner = load(m.kind, MechanismRunner)
+                runner.validate(m)
+                out[m.key] = runner.run(lines, m, {d: out[d] for d in m.depends_on})
+            elif m.kind == "lifecycle":
                 out[m.key] = run_lifecycle(lines, m)
             else:
                 base = out[m.depends_on[0]]

@@ -19,7 +19,7 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class Mechanism:
-    """A module and what it needs: lifecycles are split by the first kind, correlated to by the second."""
+    """A module and what it needs: lifecycles are split by the first kind, correlated to by the second; others name a class."""
 
     key: str
     kind: str
@@ -126,8 +126,8 @@ def product(name: str, node: dict) -> Product:
     mechanisms = []
     for key, m in node["mechanisms"].items():
         _only(f"mechanisms.{key}", m, {"kind", "enabled", "depends_on", "config"}, {"kind", "config"})
-        if m["kind"] not in KINDS:
-            raise ConfigError(f"mechanisms.{key}.kind must be one of {KINDS}")
+        if m["kind"] not in KINDS and ":" not in m["kind"]:
+            raise ConfigError(f"mechanisms.{key}.kind must be one of {KINDS} or a class path")
         mechanisms.append(Mechanism(key, m["kind"], module(key, m["kind"], m["config"], stamp), _names(m.get("depends_on")), m.get("enabled", True)))
     discovery = DiscoveryConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})
     out = Product(name, discovery, tuple(mechanisms), stamp, int(p.get("active_period_gap_seconds", 300)))

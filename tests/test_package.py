@@ -183,3 +183,65 @@ def test_nothing_found(spark):
 
     empty = spark.createDataFrame([], "path string, line_no long, line string, error string")
     assert discovered(empty, DEFAULT).count() == 0
+
+
+def test_questions_about_a_task(spark, task):
+    from slotwise.plans.api import Task, doctor
+
+    t = Task(spark, task)
+    assert [s["slot"] for s in t.slots()] == ["1", "2", "loose"] and t.slot("slot_2")["slot"] == "2" and t.slot("9") is None
+    assert [m["module_name"] for m in t.modules()] == ["EXAMPLE", "MODULE2"] and t.module_slots("EXAMPLE") == ["1", "2"]
+    assert {c["module_key"] for c in t.lifecycles("1")} == {"module1", "module2"}
+    assert t.log_path("EXAMPLE", "1", "20260103000100-20260103000200", "SERVICE", "12345").exists()
+    anchor = {"module": "EXAMPLE", "slot": "1", "process_name": "SERVICE", "pid": "12345", "problem_time": "2026-01-03T00:01:30"}
+    answer = t.target_logs([anchor, anchor | {"slot": "5"}], explain=True)
+    assert answer[0]["target_logs"][0]["match_status"] == "exact" and answer[1]["selection_diagnostics"]["error_code"] == "LP_SLOT_MISSING"
+    assert all(r["ok"] for r in doctor(task) if r["check"] != "yaml")
+
+
+def test_lifecycle_text(parsed):
+    from slotwise.plans.api import lifecycle_text
+
+    lives = parsed.mechanisms["module1"].lifecycles
+    assert lifecycle_text(lives, "off") == "" and lifecycle_text(lives, "errors") == ""
+    assert "board:1:board:root:lifecycle:0" in lifecycle_text(lives, "full")
+
+
+class Counter:
+    """A mechanism from outside."""
+
+    def validate(self, mechanism):
+        if mechanism.module.module_name == "BAD":
+            raise ValueError("bad name")
+
+    def run(self, lines, mechanism, results):
+        from slotwise.plans.parse import MechanismResult
+
+        return MechanismResult(mechanism.key, "success" if "module1" in results else "empty", str(lines.count()))
+
+
+def test_plugins_and_skipping(spark, tmp_path):
+    import dataclasses
+
+    from slotwise.plans.plugins import Discovery, load
+    from slotwise.sources.config import Mechanism
+
+    path = tmp_path / "package.zip"
+    path.write_bytes(packages.default_package())
+    bad = dataclasses.replace(packages.FIRST, module_name="BAD")
+    own = (Mechanism("module1", "lifecycle", packages.FIRST), Mechanism("count", "tests.test_package:Counter", packages.FIRST, ("module1",)), Mechanism("bad", "tests.test_package:Counter", bad), Mechanism("after", "correlation", packages.SECOND, ("bad",)))
+    got = parse(spark, str(path), dataclasses.replace(packages.PRODUCT, mechanisms=own)).mechanisms
+    assert {k: r.status for k, r in got.items()} == {"module1": "success", "count": "success", "bad": "failed", "after": "skipped"}
+    with pytest.raises(TypeError):
+        load("tests.test_package:Counter", Discovery)
+    with pytest.raises(ValueError):
+        load("tests.test_package", Discovery)
+
+
+def test_command_line(spark, task, tmp_path, capsys):
+    from slotwise import cli
+
+    assert cli.run(["doctor"]) in (0, 1)
+    assert cli.run(["target-logs", task, "--module", "EXAMPLE", "--slot", "1", "--process", "SERVICE", "--problem-time", "2026-01-03T00:01:30"]) == 0
+    assert '"match_status": "exact"' in capsys.readouterr().out
+    assert cli.run(["modules", task]) == 0 and cli.run(["artifact-check", task]) == 0
