@@ -176,7 +176,7 @@ def event_lifecycles(spark: SparkSession, d: str) -> lifecycle.Lifecycles:
 # The fold itself: from candidate to candidate, a boundary is kept if what is left of it back to the last
 # kept one, together with the next candidate, shows two pids, or a sequence number falls across it.
 _FOLD = (
-    _SEGMENTS.format(cmp=">=", gap=GAP_S * 1_000_000).replace("WITH", ",").rstrip()
+    _SEGMENTS.format(cmp=">=", gap=GAP_S * 1_000_000).rstrip()
     + """,
 c AS (SELECT slot, seg, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS log_count FROM s GROUP BY ALL),
 v AS (SELECT slot, seg, pid, sequence, ts_us FROM s WHERE cpu_id = '' AND process_name = 'click'),
@@ -408,7 +408,7 @@ def o09(spark, d):
 
 
 @query("s21_safe_segment", r"""SELECT item_id, CASE WHEN regexp_full_match(t, '[A-Za-z0-9_.-]+') THEN t ELSE regexp_replace(t, ' ', '~U00000020', 'g') || '~H' || left(sha256(t), 16) END AS segment
-FROM (SELECT item_id, regexp_replace(left(text, 12), '[^A-Za-z ]', 'x', 'g') AS t FROM benchmark)""".replace("SELECT item_id, CASE", "SELECT item_id, CASE"))
+FROM (SELECT item_id, regexp_replace(left(text, 12), '[^A-Za-z ]', 'x', 'g') AS t FROM benchmark)""")
 def s21(spark, d):
     rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.regexp_replace(F.substring("text", 1, 12), "[^A-Za-z ]", "x").alias("t"))
     return rows.select("item_id", text.safe_segment(F.col("t")).alias("segment"))
