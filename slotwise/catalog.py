@@ -318,8 +318,12 @@ y AS (SELECT entry_ord, count(*) FILTER (far = 0) AS n_in, min(far) AS least FRO
 z AS (SELECT x.entry_ord, n_in, count(*) FILTER (far = least) AS n_near, min(ord) FILTER (far = least) AS ord FROM x JOIN y USING (entry_ord) GROUP BY ALL)
 SELECT entry_ord, CASE WHEN n_in = 1 THEN 'exact' WHEN n_in > 1 OR n_near > 1 THEN 'ambiguous' ELSE 'nearest' END AS match_status, CASE WHEN n_in > 1 OR n_near > 1 THEN NULL ELSE ord END AS ord FROM z""")
 def j16(spark, d):
-    """A slot's cycles are few beside its points, which are only reduced here, never grouped in full."""
-    pairs = event_points(spark, d).join(event_cycles(spark, d), "slot").select("entry_ord", F.col("ts_us").alias("at_us"), F.col("ord").alias("cycle_id"), "start_us", "end_us", F.lit("").alias("log_path"))
+    """Only cycles that contain a point or are nearest to it can be chosen, so no others are paired with it."""
+    points, cycles = event_points(spark, d), cut(event_cycles(spark, d))
+    inside = intervals.interval_join(points, cycles, ["slot"], "ts_us", "start_us", "end_us")
+    near = intervals.nearest(points, cycles, ["entry_ord"], ["slot"], "ts_us", "start_us", "end_us")
+    both = inside.select("entry_ord", "ts_us", "ord", "start_us", "end_us").unionByName(near.select("entry_ord", "ts_us", "ord", "start_us", "end_us"))
+    pairs = both.select("entry_ord", F.col("ts_us").alias("at_us"), F.col("ord").alias("cycle_id"), "start_us", "end_us", F.lit("").alias("log_path"))
     return target.selected(pairs, ["entry_ord"]).select("entry_ord", "match_status", F.col("choice.cycle_id").alias("ord"))
 
 

@@ -56,19 +56,17 @@ def gaps(intervals: DataFrame, on: list[str], start: str, end: str) -> DataFrame
 def nearest(points: DataFrame, intervals: DataFrame, key: list[str], on: list[str], at: str, start: str, end: str) -> DataFrame:
     """Each point outside all intervals of its key with the nearest ones: every interval at the least distance.
 
-    Points look only at the two bounds of the stretch they lie in, so the work does not grow with points
-    times intervals.  Adds ``distance_us``.
+    A point is joined with the one stretch between intervals that it lies in, and looks only at the two
+    bounds of that, so the work does not grow with points times intervals.  Adds ``distance_us``.
     """
-    free = gaps(intervals, on, start, end)
-    # One row a stretch: a time's stretch is the one with the greatest lower bound below it.
-    edges = free.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("before", F.lit(-(1 << 62))).alias("lo"), F.coalesce("after", F.lit(1 << 62)).alias("hi")))).alias("_free"))
-    rows = points.join(edges, on)
-    inside = F.filter("_free", lambda g: (g["lo"] < F.col(at)) & (g["hi"] > F.col(at)))
-    rows = rows.withColumn("_g", F.try_element_at(inside, F.lit(1))).filter(F.col("_g").isNotNull()).drop("_free")
-    down, up = F.col(at) - F.col("_g.lo"), F.col("_g.hi") - F.col(at)
+    far = 1 << 61
+    free = gaps(intervals, on, start, end).select(*on, F.coalesce("before", F.lit(-far)).alias("_lo"), F.coalesce("after", F.lit(far)).alias("_hi"))
+    free = free.withColumn("_from", F.col("_lo") + 1).withColumn("_to", F.col("_hi") - 1)
+    rows = interval_join(points, free, on, at, "_from", "_to").drop("_from", "_to")
+    down, up = F.col(at) - F.col("_lo"), F.col("_hi") - F.col(at)
     rows = rows.withColumn("distance_us", F.least(down, up))
-    sides = F.array_compact(F.array(F.when(down == F.col("distance_us"), F.struct(F.lit("end").alias("side"), F.col("_g.lo").alias("bound"))), F.when(up == F.col("distance_us"), F.struct(F.lit("start").alias("side"), F.col("_g.hi").alias("bound")))))
-    rows = rows.select("*", F.inline(sides)).drop("_g")
+    sides = F.array_compact(F.array(F.when(down == F.col("distance_us"), F.struct(F.lit("end").alias("side"), F.col("_lo").alias("bound"))), F.when(up == F.col("distance_us"), F.struct(F.lit("start").alias("side"), F.col("_hi").alias("bound")))))
+    rows = rows.select("*", F.inline(sides)).drop("_lo", "_hi")
     bounds = intervals.withColumn("_b", F.explode(F.array(F.struct(F.lit("end").alias("side"), F.col(end).alias("bound")), F.struct(F.lit("start").alias("side"), F.col(start).alias("bound")))))
     bounds = bounds.select("*", "_b.side", "_b.bound").drop("_b")
     return rows.join(bounds, [*on, "side", "bound"]).drop("side", "bound").dropDuplicates([*key, *[c for c in intervals.columns if c not in on]])

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slotwise.storage import cut
+
 
 def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """0-based global row numbers by ``order``, which must be total.
 
     Rows are range-partitioned and sorted; one row a partition goes through the window that adds up the
-    partitions' sizes.  The sorted table is cached, as both passes must see the same partitions.
+    partitions' sizes.  The sorted table is cut from its lineage, as both passes must see the same partitions.
     """
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()).persist()
+    sorted_rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()))
     numbered = sorted_rows.withColumn("_pid", F.shiftright("_pos", 33))
     sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
