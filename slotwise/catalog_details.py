@@ -159,6 +159,14 @@ def j07(spark, d):
     return count(out.select(F.when(F.col("reason") == "matched_by_time", F.col("reason")).otherwise("other").alias("reason")), "reason")
 
 
+@query("o07_nearest_three", _CYCLES + """, o AS (SELECT pt.* FROM pt WHERE NOT EXISTS (FROM cy WHERE cy.slot = pt.slot AND pt.ts_us BETWEEN start_us AND end_us)),
+r AS (SELECT entry_ord, ord, greatest(start_us - ts_us, ts_us - end_us) AS distance_us FROM o JOIN cy ON o.slot = cy.slot)
+SELECT *, CAST(row_number() OVER (PARTITION BY entry_ord ORDER BY distance_us, ord) AS INTEGER) AS place FROM r QUALIFY place <= 3""")
+def o07(spark, d):
+    near = intervals.nearest_few(event_points(spark, d), event_cycles(spark, d), ["entry_ord"], ["slot"], "ts_us", "ord")
+    return near.select("entry_ord", "ord", "distance_us", "place")
+
+
 @query("j14_active_roles", "SELECT slot, slot IN ('1', '3') AS is_active FROM e GROUP BY slot")
 def j14(spark, d):
     rows = event_entries(spark, d).withColumn("is_active_signal", F.col("slot").isin("1", "3") & (F.col("entry_ord") % 2 == 1))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotwise.functions import text, times
-from slotwise.operators.intervals import first_interval, half_gap_limits, nearest
+from slotwise.operators.intervals import first_interval, half_gap_limits, nearest, nearest_few
 from slotwise.storage import cut
 
 OPEN = "unknown"
@@ -111,6 +111,14 @@ def matches(entries: DataFrame, up: Upstream) -> DataFrame:
     return rows.join(other.withColumn("pid_fallback_blocked_by_time_cycle", F.lit(True)), "entry_ord", "left").fillna(False, ["pid_fallback_blocked_by_time_cycle"])
 
 
+def unknown_details(matched: DataFrame, up: Upstream) -> DataFrame:
+    """(entry_ord, detail): for rows without a board, its three nearest cycles and how far they are."""
+    lost = matched.filter("board_id is null and ts_us is not null").select("entry_ord", "slot", "ts_us")
+    near = nearest_few(lost, up.boards.filter("start_us is not null and end_us is not null").select("slot", "board_id", "ord", "start_us", "end_us"), ["entry_ord"], ["slot"], "ts_us", "ord")
+    one = F.format_string("%s:%.6fs", F.col("board_id"), F.col("distance_us") / 1_000_000)
+    return near.groupBy("entry_ord").agg(F.concat(F.lit("nearest=["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", one.alias("t")))), lambda x: x["t"]), ","), F.lit("]")).alias("detail"))
+
+
 def decisions(matched: DataFrame) -> DataFrame:
     """One row an entry about its first match; what is assigned later does not change it."""
     ref = text.reference(*[F.col(c) for c in ("module_key", "ts_us", "source", "source_file", "slot", "cpu_id", "process_name", "pid", "sequence", "raw")])

@@ -72,6 +72,23 @@ def nearest(points: DataFrame, intervals: DataFrame, key: list[str], on: list[st
     return rows.join(bounds, [*on, "side", "bound"]).drop("side", "bound").dropDuplicates([*key, *[c for c in intervals.columns if c not in on]])
 
 
+def nearest_few(points: DataFrame, cycles: DataFrame, key: list[str], on: list[str], at: str, order: str, n: int = 3) -> DataFrame:
+    """Up to ``n`` nearest cycles of each point outside all of them, with ``distance_us`` and ``place`` from 1; ties by ``order``.
+
+    Cycles must not overlap.  A point's stretch tells how many cycles lie before it, so it is joined with
+    n cycles to either side and no others.
+    """
+    by, far = W.partitionBy(*on).orderBy("start_us"), 1 << 61
+    numbered = cycles.withColumn("_i", F.row_number().over(by))
+    behind = numbered.select(*on, "_i", (F.col("end_us") + 1).alias("_from"), (F.coalesce(F.lead("start_us").over(by), F.lit(far)) - 1).alias("_to"))
+    front = numbered.filter("_i = 1").select(*on, F.lit(0).alias("_i"), F.lit(-far).alias("_from"), (F.col("start_us") - 1).alias("_to"))
+    placed = interval_join(points, behind.unionByName(front), on, at, "_from", "_to").drop("_from", "_to")
+    sides = placed.withColumn("_i", F.explode(F.sequence(F.col("_i") - n + 1, F.col("_i") + n)))
+    rows = sides.join(numbered, [*on, "_i"]).drop("_i").withColumn("distance_us", F.greatest(F.col("start_us") - F.col(at), F.col(at) - F.col("end_us")))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("distance_us", order)))
+    return rows.filter(F.col("place") <= n)
+
+
 def half_gap_limits(cycles: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     """Adds lower_us and upper_us: the middles of the gaps to the cycles before and behind, in list order; null where there is no gap.
 

@@ -85,6 +85,13 @@ def test_nearest_keeps_ties(spark):
     assert got == [(0, 0, 5), (0, 1, 5), (0, 2, 5), (2, 1, 70), (3, 0, 2), (3, 2, 2)]
 
 
+def test_details_name_the_nearest_three(spark):
+    up = upstream(spark, [(0, 10), (20, 30), (60, 61), (90, 95)])
+    m = correlate.matches(entries(spark, [("2", "", "k", "", 40), ("2", "", "k", "", 5), ("2", "", "k", "", -1)]), up)
+    got = {r.entry_ord: r.detail for r in correlate.unknown_details(m, up).collect()}
+    assert got == {0: "nearest=[b1:600.000000s,b2:1200.000000s,b0:1800.000000s]", 2: "nearest=[b0:60.000000s,b1:1260.000000s,b2:3660.000000s]"}
+
+
 def test_half_gap_limits(spark):
     cycles = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 21, 30), ("a", 2, None, None)], "s string, o int, start_us long, end_us long")
     got = {r.o: (r.lower_us, r.upper_us) for r in intervals.half_gap_limits(cycles, ["s"], ["o"]).collect()}
