@@ -126,6 +126,12 @@ def write_evidence(rows: DataFrame, folder: str) -> None:
     rows.repartition("path").sortWithinPartitions(*order).select("path", "text").write.format("slotwise_evidence").option("path", folder).mode("append").save()
 
 
+def write_evidence_table(rows: DataFrame, path: str) -> None:
+    """The same lines as text files in a folder a log, for stores that only Spark writes; names are encoded in the folders'."""
+    order = ["path", F.col("ts_us").asc_nulls_last(), "sequence", "source_file", "raw"]
+    rows.repartition("path").sortWithinPartitions(*order).select("path", F.col("text").alias("value")).write.partitionBy("path").mode("overwrite").text(path)
+
+
 def write_atomic(path: str | Path, content: str) -> None:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)

@@ -179,6 +179,37 @@ def read_package(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("slotwise_package").load(path)
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The same table from files in any store that Spark reads; a file is one task's work.
+
+    ``read_package`` opens paths itself and so needs a folder that driver and executors share; here Spark
+    hands over the bytes.  Paths are file names, with members of archives under them.
+    """
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for full, content in zip(batch["path"], batch["content"]):
+                name = full.rsplit("/", 1)[-1]
+                try:
+                    found = (Member(f"{name}_extracted/{m.path}", m.data, m.error) for m in members(name, io.BytesIO(content))) if is_archive(name) else [Member(name, io.BytesIO(content))]
+                    for m in found:
+                        if m.error:
+                            rows.append((m.path, 0, "", m.error))
+                        for n, line, error in lines_of(m.path, m.data):
+                            rows.append((m.path, n, line, error or None))
+                            if len(rows) == 20_000:
+                                yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
+                                rows = []
+                except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error) as e:
+                    rows.append((name, 0, "", f"LP_ARCHIVE_READ_FAILED: {e}"))
+        yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(run, SCHEMA)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of plain or gz files through Spark's own reader, for inputs that only Spark can open.
 

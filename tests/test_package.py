@@ -178,6 +178,24 @@ def test_folders_tars_and_broken_files(spark, tmp_path):
     assert overlap(str(tmp_path), str(tmp_path / "p")) and not overlap(str(tmp_path / "p"), str(tmp_path / "q"))
 
 
+def test_stored_packages_and_tables(spark, parsed, tmp_path):
+    from slotwise.sources.archive import read_stored, read_text
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/p.zip").write_bytes(packages.default_package())
+    (tmp_path / "in/bad.zip").write_bytes(b"none")
+    (tmp_path / "in/plain.log").write_bytes(b"a\nb\n")
+    rows = read_stored(spark, str(tmp_path / "in")).collect()
+    assert ("plain.log", 1, "b", None) in {tuple(r) for r in rows} and [r.path for r in rows if r.error] == ["bad.zip"]
+    inside = {(r.path, r.line) for r in rows if r.path.startswith("p.zip_extracted/")}
+    assert inside == {("p.zip_extracted/" + r.path, r.line) for r in parsed.lines.select("path", "line").collect()} | {i for i in inside if "other_folder" in i[0] or "diaglog_9" in i[0]}
+    assert sorted(r.line for r in read_text(spark, str(tmp_path / "in/plain.log")).collect()) == ["a", "b"]
+    rows = evidence.evidence(parsed.mechanisms["module1"], "EXAMPLE")
+    evidence.write_evidence_table(rows, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"))
+    assert back.count() == rows.count() and back.select("path").distinct().count() == rows.select("path").distinct().count()
+
+
 def test_nothing_found(spark):
     from slotwise.sources.discovery import DEFAULT
 
