@@ -210,7 +210,10 @@ def candidates(rows: DataFrame, length: int, reach: int) -> DataFrame:
     """
     seen = _occurrences(rows, length, reach, True)
     merged = seen.groupBy("fp", "c1", "c2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("f", "i", "p")])
-    of = merged.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).filter("all > 1").drop("all")
+    # The counts look at every column, so that both sides of the join read one and the same exchange.
+    every = F.max(F.xxhash64("c1", "c2", "f", "i", "p"))
+    of = merged.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), every.alias("every"))
+    of = of.filter((F.col("all") > 1) & F.col("every").isNotNull()).select("fp", "k")
     return merged.join(of, "fp")
 
 
