@@ -64,10 +64,10 @@ def restart_intervals(placed: DataFrame, scope: list[str], reliable: list[str],
     """
     rows = placed.filter(evidence & F.col("process_name").isin(reliable)) if reliable else placed.limit(0)
     numbered = F.col("sequence") > 0
-    summary = rows.groupBy(*scope, "candidate_index", "process_name").agg(
+    summary = cut(rows.groupBy(*scope, "candidate_index", "process_name").agg(
         F.min_by("sequence", F.when(numbered, _by())).alias("first"), F.max_by("sequence", F.when(numbered, _by())).alias("last"), F.count(F.when(numbered, 1)).alias("n"),
         F.array_sort(F.collect_set(F.when(F.col("pid") != "", F.col("pid")))).alias("pids"),
-    )
+    ))
     i = F.col("candidate_index")
     before = W.partitionBy(*scope, "process_name").orderBy("candidate_index")
 
@@ -108,7 +108,7 @@ def _scope_lifecycles(rows: DataFrame, scope: list[str], name: str, reliable: li
     Only tables of cells, segments and restarts are cut from their lineage, never the entries.
     """
     candidates, placed = candidate_segments(rows, scope, gap_us)
-    intervals = cut(restart_intervals(placed, scope, reliable, multi, evidence))
+    intervals = restart_intervals(placed, scope, reliable, multi, evidence)
     cuts = kept_boundaries(intervals, scope)
     at = W.partitionBy(*scope).orderBy("candidate_index")
     marked = candidates.join(cuts.withColumnRenamed("i", "candidate_index"), [*scope, "candidate_index"], "left")
