@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -199,6 +200,20 @@ def _pick(ts, targets: list[_Target]) -> _Target | None:
     return open_to[far.index(least)] if far.count(least) == 1 else None
 
 
+class _Frozen:
+    """Targets whose ranges no longer change: the few that admit a time are found over arrays."""
+
+    def __init__(self, targets: list[_Target]):
+        self.targets = targets
+        self.lower = np.array([-np.inf if t.lower is None else t.lower for t in targets])
+        self.upper = np.array([np.inf if t.upper is None else t.upper for t in targets])
+
+    def pick(self, ts) -> _Target | None:
+        if ts is None or not self.targets:
+            return None
+        return _pick(ts, [self.targets[i] for i in np.flatnonzero((self.lower <= ts) & (ts <= self.upper))])
+
+
 def _fold(table: pd.DataFrame) -> pd.DataFrame:
     """New places of one slot's unknown rows."""
     table = table.astype(object).where(table.notna(), None)
@@ -245,15 +260,14 @@ def _fold(table: pd.DataFrame) -> pd.DataFrame:
             base = boards[board]
             span = spans.setdefault(board, _Target(board, None, "", base.lo, base.hi, base.lower, base.upper, base.entry_ord))
             span.take(*(b.seen if b.seen[0] is not None else (None, None)))
-    real = [b for b in buckets.values() if b.own is not None]
+    boards_only, by_cpu = _Frozen(list(spans.values())), {}
+    for b in buckets.values():
+        if b.own is not None:
+            by_cpu.setdefault(b.cpu, []).append(b)
+    by_cpu = {cpu: _Frozen(held) for cpu, held in by_cpu.items()}
     for r in left:
-        if not r.cpu_id:
-            to = _pick(r.ts, list(spans.values()))
-            place = to and (to.board, None)
-        else:
-            mine = [b for b in real if b.cpu == r.cpu_id]
-            to = _pick(r.ts, mine or list(spans.values()))
-            place = to and (to.board, to.own)
+        to = (by_cpu.get(r.cpu_id, boards_only) if r.cpu_id else boards_only).pick(r.ts)
+        place = to and (to.board, to.own)
         if place:
             moved[r.entry_ord] = (*place, "nearness")
     return pd.DataFrame([(k, *v) for k, v in moved.items()], columns=["entry_ord", "new_board", "new_own", "moved_by"])
