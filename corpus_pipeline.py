@@ -13,7 +13,7 @@ from slotwise.llm.bpe import encode_documents, rank_file
 from slotwise.llm.common import stored, table
 from slotwise.llm.exact_dedup import deduplicated
 from slotwise.llm.mixing import mixed
-from slotwise.llm.simhash import near_deduplicated
+from slotwise.llm.near_dedup import near_deduplicated
 from slotwise.llm.toxicity import not_toxic
 
 
@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest id."""
+    """Of each group of texts linked by 5-word similarity of 0.8 or more, the document with the smallest id."""
     return near_deduplicated(docs)
 
 
