@@ -230,6 +230,13 @@ def w03(spark, d):
     return event_entries(spark, d).withColumn("next", F.lead("entry_ord").over(by)).filter("entry_ord < 300 and next is not null").select("entry_ord", "next")
 
 
+@query("w03_all_adjacent_pairs", ", t AS (SELECT entry_ord, lead(entry_ord) OVER (PARTITION BY slot ORDER BY entry_ord) AS next FROM e) SELECT entry_ord, next FROM t WHERE next IS NOT NULL")
+def w03_all(spark, d):
+    """All pairs; w03_adjacent_pairs stops at entry 300, as its SQL does."""
+    by = W.partitionBy("slot").orderBy("entry_ord")
+    return event_entries(spark, d).withColumn("next", F.lead("entry_ord").over(by)).filter("next is not null").select("entry_ord", "next")
+
+
 # -- aggregations and sets --------------------------------------------------------------------------
 
 
