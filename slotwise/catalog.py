@@ -284,9 +284,15 @@ def l15(spark, d):
 
 
 def event_upstream(spark: SparkSession, d: str) -> correlate.Upstream:
+    """Boards from the segments; in each, a CPU's cycle goes from its first to its last diagnostic entry."""
     boards = event_cycles(spark, d).select(F.concat("slot", F.lit(":"), "ord").alias("id"), F.lit("board").alias("scope"), "slot", F.lit(None).cast("string").alias("cpu_id"), F.lit("").alias("parent_id"), F.col("ord").alias("cycle_ord"), "start_us", "end_us")
-    pids = intervals.interval_join(event_entries(spark, d).filter("source = 'diagnostic'").select("entry_ord", "slot", "ts_us", "process_name", "pid"), boards.select("slot", "id", "start_us", "end_us"), ["slot"], "ts_us", "start_us", "end_us")
-    return correlate.upstream(cut(boards), cut(pids.select(F.col("id").alias("cycle_id"), "process_name", "pid").distinct()))
+    inside = intervals.interval_join(event_entries(spark, d).filter("source = 'diagnostic'").select("entry_ord", "slot", "cpu_id", "ts_us", "process_name", "pid"), boards.select("slot", "id", "cycle_ord", "start_us", "end_us"), ["slot"], "ts_us", "start_us", "end_us")
+    own = F.concat("id", F.lit("/"), "cpu_id")
+    inner = inside.filter("cpu_id <> ''")
+    cpus = inner.groupBy("slot", "id", "cpu_id", "cycle_ord").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    cpus = cpus.select(own.alias("id"), F.lit("cpu").alias("scope"), "slot", "cpu_id", F.col("id").alias("parent_id"), "cycle_ord", "start_us", "end_us")
+    pids = inside.select(F.col("id").alias("cycle_id"), "process_name", "pid").unionByName(inner.select(own.alias("cycle_id"), "process_name", "pid"))
+    return correlate.upstream(cut(boards.unionByName(cpus)), cut(pids.distinct()))
 
 
 @query("j05_pid_fallback", _CYCLES + """, o AS (SELECT pt.* FROM pt WHERE cpu_id = '' AND NOT EXISTS (FROM cy WHERE cy.slot = pt.slot AND pt.ts_us BETWEEN start_us AND end_us)),

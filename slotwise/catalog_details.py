@@ -219,6 +219,12 @@ def l19(spark, d):
     return out.agg(F.countDistinct("entry_ref").alias("n"), F.count_if(F.col("reason") == "matched_by_time").alias("by_time"))
 
 
+@query("l19_all_decisions")
+def l19_all(spark, d):
+    """Rows about all journals; l19_decisions counts those of one pid, as its SQL does."""
+    return correlate.decisions(correlate.matches(event_entries(spark, d).filter("source = 'journal'"), event_upstream(spark, d)))
+
+
 @query("l21_active_slots", "SELECT DISTINCT slot FROM e WHERE process_name = 'error'")
 def l21(spark, d):
     return lifecycle.active_slots(event_entries(spark, d).withColumn("is_active_signal", F.col("process_name") == "error"))

@@ -25,3 +25,23 @@ def test_all_adjacent_pairs(spark, small):
     slot = slot_of(spark, small)
     want = {(i, n) for i in slot if (n := min((j for j in slot if j > i and slot[j] == slot[i]), default=None)) is not None}
     assert {tuple(r) for r in catalog.QUERIES["w03_all_adjacent_pairs"](spark, small).collect()} == want and max(want)[0] >= 300
+
+
+def test_all_decisions(spark, small):
+    rows = [r for r in catalog.event_entries(spark, small).collect()]
+    boards = [(r.slot, r.ord, r.start_us, r.end_us) for r in catalog.event_cycles(spark, small).collect()]
+    found = lambda r: min((b for b in boards if b[0] == r.slot and b[2] <= r.ts_us <= b[3]), key=lambda b: b[1], default=None)
+    cpus = {}
+    for r in rows:
+        if r.source == "diagnostic" and r.cpu_id and (b := found(r)):
+            cpus.setdefault((b[0], b[1], r.cpu_id), []).append(r.ts_us)
+    want = []
+    for r in rows:
+        if r.source == "journal" and (b := found(r)):
+            at = cpus.get((b[0], b[1], r.cpu_id))
+            own = f"{b[0]}:{b[1]}/{r.cpu_id}" if at and min(at) <= r.ts_us <= max(at) else None
+            want.append((r.ts_us, f"{b[0]}:{b[1]}", own, "no_cpu_cycle_contains_timestamp" if r.cpu_id and not own else "matched_by_time"))
+    got = catalog.QUERIES["l19_all_decisions"](spark, small).collect()
+    assert len(got) == len([r for r in rows if r.source == "journal"])
+    by_time = [(r.ts_us, r.board_id, r.own_id, r.reason) for r in got if r.reason in ("matched_by_time", "no_cpu_cycle_contains_timestamp")]
+    assert sorted(by_time, key=str) == sorted(want, key=str) and any(w[2] for w in want)
