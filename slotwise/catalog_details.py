@@ -118,6 +118,12 @@ def s27(spark, d):
     return rows.select("doc_id", text.raw_text(F.col("text")).alias("raw"))
 
 
+@query("s27_all_raw", "SELECT doc_id, left(regexp_replace(regexp_replace(text, '^[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ''), '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', ''), 500) AS raw FROM documents")
+def s27_all(spark, d):
+    """All texts; s27_raw_and_previews takes those that begin with a letter, as its SQL does."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.raw_text(F.col("text")).alias("raw"))
+
+
 @query("s30_single_lines", "WITH x AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, CASE WHEN length(t) > 120 THEN rtrim(left(t, 119)) || '…' ELSE t END AS line FROM x")
 def s30(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", text.shortened(text.single_line(F.col("text"))).alias("line"))

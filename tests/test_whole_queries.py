@@ -45,3 +45,10 @@ def test_all_decisions(spark, small):
     assert len(got) == len([r for r in rows if r.source == "journal"])
     by_time = [(r.ts_us, r.board_id, r.own_id, r.reason) for r in got if r.reason in ("matched_by_time", "no_cpu_cycle_contains_timestamp")]
     assert sorted(by_time, key=str) == sorted(want, key=str) and any(w[2] for w in want)
+
+
+def test_all_raw_texts(spark, tmp_path):
+    texts = [None, "", " \t", "  9 lives ", "\u2003\u3000été\x85", "\n- a\n", "x" * 600, "\xa0" + "日" * 501]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, catalog.QUERIES["s27_all_raw"](spark, str(tmp_path)).collect()))
+    assert got == {i: t if t is None else t.strip()[:500] for i, t in enumerate(texts)}
