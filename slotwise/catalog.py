@@ -424,6 +424,12 @@ def s21(spark, d):
     return rows.select("item_id", text.safe_segment(F.col("t")).alias("segment"))
 
 
+@query("s21_whole_segment")
+def s21_whole(spark, d):
+    """Whole texts; s21_safe_segment takes twelve characters, as its SQL does."""
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", text.safe_segment(F.col("text")).alias("segment"))
+
+
 @query("s23_slot_names", "SELECT slot, cpu_id, count(*) AS n FROM e GROUP BY ALL")
 def s23(spark, d):
     folder = F.concat(F.lit("SLOT_"), "slot", F.when(F.col("cpu_id") == "", "").otherwise(F.concat(F.lit("_cpu_"), "cpu_id")))

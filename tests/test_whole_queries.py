@@ -52,3 +52,18 @@ def test_all_raw_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(map(tuple, catalog.QUERIES["s27_all_raw"](spark, str(tmp_path)).collect()))
     assert got == {i: t if t is None else t.strip()[:500] for i, t in enumerate(texts)}
+
+
+def segment(t):
+    if not t:
+        return "unknown"
+    reserved = re.fullmatch(r"CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]", t.split(".")[0].upper())
+    if re.fullmatch(r"[A-Za-z0-9_.-]+", t) and t not in (".", "..") and not t.endswith(".") and not reserved:
+        return t
+    return "".join(c if re.match(r"[A-Za-z0-9_.-]", c) else f"~U{ord(c):08x}" for c in t) + "~H" + hashlib.sha256(t.encode()).hexdigest()[:16]
+
+
+def test_whole_segments(spark, tmp_path):
+    texts = [None, "", "safe-1.log", "..", "end.", "con.txt", "a/b\\c:d~e\n", "été 日本 😀 " * 20, "\t\x01\x7f", "x" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert dict(map(tuple, catalog.QUERIES["s21_whole_segment"](spark, str(tmp_path)).collect())) == {i: segment(t) for i, t in enumerate(texts)}
