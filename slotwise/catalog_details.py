@@ -294,6 +294,13 @@ def o01(spark, d):
     return rows.withColumn("n", F.row_number().over(W.partitionBy("slot").orderBy(*entries.total_order()))).filter("n <= 3").select("entry_ord", "slot")
 
 
+@query("o01_whole_order", "SELECT entry_ord, slot, CAST(row_number() OVER (PARTITION BY slot ORDER BY sequence, entry_ord) AS INTEGER) AS n FROM e")
+def o01_whole(spark, d):
+    """Every entry with its place; o01_entry_order gives three a slot, as its SQL does."""
+    rows = event_entries(spark, d).withColumn("ts_us", F.lit(None).cast("long")).withColumn("raw", F.lit(""))
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("slot").orderBy(*entries.total_order()))).select("entry_ord", "slot", "n")
+
+
 @query("u01_union_order", "SELECT entry_ord, CAST(row_number() OVER (ORDER BY source, entry_ord) - 1 AS BIGINT) AS place FROM e")
 def u01(spark, d):
     rows = event_entries(spark, d).drop("entry_ord")

@@ -67,3 +67,10 @@ def test_whole_segments(spark, tmp_path):
     texts = [None, "", "safe-1.log", "..", "end.", "con.txt", "a/b\\c:d~e\n", "été 日本 😀 " * 20, "\t\x01\x7f", "x" * 300]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert dict(map(tuple, catalog.QUERIES["s21_whole_segment"](spark, str(tmp_path)).collect())) == {i: segment(t) for i, t in enumerate(texts)}
+
+
+def test_whole_order(spark, small):
+    slot, want = slot_of(spark, small), set()
+    for s in range(4):
+        want |= {(i, str(s), n) for n, i in enumerate(sorted((i for i in slot if slot[i] == s), key=lambda i: (i % 97, i)), 1)}
+    assert {tuple(r) for r in catalog.QUERIES["o01_whole_order"](spark, small).collect()} == want
