@@ -200,13 +200,13 @@ def result_document(results: dict[str, MechanismResult], names: dict[str, str])
 
 
 def metadata_document(result: ParseResult) -> dict:
-    """metadata.json: coverage, the slots with role and periods, private slots, errors."""
+    """metadata.json: coverage, the slots with role and periods, private slots, all errors (they are held in the driver)."""
     c = result.coverage.first().asDict(True)
     iso = lambda col: times.iso(times.from_us(F.col(col)))
     periods = result.periods.groupBy(F.col("scope").alias("slot")).agg(F.sort_array(F.collect_list(F.struct(iso("start_us").alias("start"), iso("end_us").alias("end")))).alias("periods"))
     slots = [r.asDict(True) for r in result.slots.join(periods, "slot", "left").orderBy("slot").collect()]
     private = [r.asDict(True) for r in result.files.filter("family = 'journal'").groupBy("scope", "cpu").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("scope", "cpu").collect()]
-    errors = [r.asDict(True) for r in result.diagnostics.orderBy("message").limit(1000).collect()]
+    errors = [r.asDict(True) for r in result.diagnostics.orderBy("message").collect()]
     return {"schema_version": 2, "coverage": c, "diagnostic_slots": slots, "private_slots": private, "errors": errors}
 
 
