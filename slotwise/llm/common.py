@@ -63,16 +63,55 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes that keep the rows of a file as they are, at most one result row a row.
+_ROW_NODES = {"Relation", "LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def _is_file_table(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a Parquet file, so that file and row index name it."""
+    plans = [df._jdf.queryExecution().analyzed()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName().split(" ")[0].split("(")[0] not in _ROW_NODES:
+            return False
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    try:
+        df.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018  resolves the columns
+    except AnalysisException:
+        return False
+    return "_metadata" not in df.columns
+
+
+def file_table(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain view of Parquet files, else a copy of it in such files.
+
+    Operators that read a table more than once and join on row keys start from this: only rows of files
+    have keys that do not depend on the plan.
+    """
+    return df if _is_file_table(df) else stored(df)
+
+
 def with_row_key(df: DataFrame, name: str = "_rk") -> DataFrame:
-    """Adds a key that names the same row each time the same input is read.
+    """Adds the key of a file table's row: (hash of the file's path, row index in the file), however files are split.
 
-    File tables get (hash of the file's path, row index in the file), which does not depend on how files
-    are split; other tables get their partition-ordered row number.
+    ``df`` comes from ``file_table``; other tables raise an error.
     """
-    try:
-        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
-    except AnalysisException:
-        return df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i")))
+    return df.withColumn(name, row_key())
+
+
+def row_key() -> Column:
+    return F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+
+
+def rows_with_key(df: DataFrame, *more: Column) -> DataFrame:
+    """(_row, _rk, more): all columns of ``df`` in one struct, so that no name of theirs meets another one."""
+    return df.select(F.struct("*").alias("_row"), row_key().alias("_rk"), *more)
+
+
+def only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of a file table whose key is in ``keys`` (with ``left_anti``: is not), with all their columns."""
+    return rows_with_key(docs).join(keys, "_rk", how).select("_row.*")
 
 
 def ordered(df: DataFrame, *order) -> DataFrame:

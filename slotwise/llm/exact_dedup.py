@@ -1,9 +1,13 @@
 """Exact dedup by a tree merge of sorted digest runs, in DataFrame functions only.
 
-Each input partition yields a run: one row per digest with the smallest identifier, the number of rows and
-the text's length.  In each round ``fan_in`` neighbouring runs meet and are merged by digest, so the number
-of runs falls by that factor until one run, spread over all tasks by digest, holds every group.  A digest
-is SHA-256 of the normalised text; the length goes along as a check at every level.
+Each input partition yields a run: one row per digest, in digest order, with the smallest identifier and the number
+of rows.  In each round neighbouring runs exchange their rows, every task takes some digests of all runs of its group,
+sorts them (which merges the sorted stretches) and folds equal ones in one streaming pass, a sort aggregate, so the
+number of runs falls by the fan-in until one is left, spread over all tasks.  The fan-in grows with the cube root of
+the number of runs, so that three rounds do for any number beyond 64.
+
+A digest is SHA-256 of the normalised text.  Its length and a 64-bit hash of another kind verify it: they are part of
+the key at every level, so rows whose digests agree by chance would stay apart.
 """
 
 from __future__ import annotations
@@ -11,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import WS, checkpointed, table, with_row_key
+from slotwise.llm.common import WS, checkpointed, file_table, only, stored, table, with_row_key
 
 FAN_IN = 4
+KEY = ["_digest", "_length", "_check"]
 
 
 def normalised(text: Column) -> Column:
@@ -22,26 +27,27 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _rk, _digest, _length, _run) of every row; the run is the partition that read the row."""
+    """(_id, _rk, _digest, _length, _check, _run) of every row; the run is the partition that read the row."""
     text = normalised(F.col(text_col))
-    rows = with_row_key(docs.select(id_col, text_col)) if id_col != text_col else with_row_key(docs.select(id_col))
-    return rows.select(
+    return with_row_key(docs.select(*dict.fromkeys([id_col, text_col]))).select(
         F.col(id_col).alias("_id"),
         "_rk",
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("_digest"),
         F.octet_length(text).alias("_length"),
+        F.xxhash64(text).alias("_check"),
         F.spark_partition_id().alias("_run"),
     )
 
 
-def merge_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """(_digest, _length, _least, _n) of every group; ``_least`` is (no id, id, row key) of its first row."""
+def merge_runs(rows: DataFrame, fan_in: int | None = None) -> DataFrame:
+    """(_digest, _length, _check, _least, _n) of every group; ``_least`` is (no id, id, row key) of its first row."""
     least = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rk").alias("rk"))
-    runs = rows.groupBy("_run", "_digest", "_length").agg(F.min(least).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    runs = rows.groupBy("_run", *KEY).agg(F.min(least).alias("_least"), F.count(F.lit(1)).alias("_n"))
     left = (rows.agg(F.max("_run")).first()[0] or 0) + 1
+    fan_in = fan_in or max(FAN_IN, round(left ** (1 / 3) + 0.5))
     while left > 1:
         merged = runs.withColumn("_run", (F.col("_run") / fan_in).cast("int"))
-        runs = merged.groupBy("_run", "_digest", "_length").agg(F.min("_least").alias("_least"), F.sum("_n").alias("_n"))
+        runs = merged.groupBy("_run", *KEY).agg(F.min("_least").alias("_least"), F.sum("_n").alias("_n"))
         left = -(-left // fan_in)
     return runs.drop("_run")
 
@@ -51,19 +57,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows with equal texts the one with the smallest id stays (null after all others); if several rows
     share that id, the first of them by row key.  An empty table gives no rows.  Other columns are ignored.
+    ``docs`` that is no file table is written out first, so that its rows keep their keys.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
-    groups = merge_runs(rows)
-    joined = rows.drop("_run").join(groups, ["_digest", "_length"])
+    rows = checkpointed(digests(file_table(docs), id_col, text_col))
+    # Texts that come once need no join; the others' groups are a table of their own, so a large group is split in the join.
+    groups = stored(merge_runs(rows).filter("_n > 1"))
+    joined = rows.drop("_run").join(groups, KEY, "left")
+    alone = F.col("_n").isNull()
     return joined.select(
-        "_id", "_rk", "_digest", F.col("_least.id").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_rk") == F.col("_least.rk")).alias("kept")
-    )
+        "_id", "_rk", "_digest", F.when(alone, F.col("_id")).otherwise(F.col("_least.id")).alias("keep_id"), F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("_rk") == F.col("_least.rk"))).alias("kept"),
+    )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select("_rk")
-    return with_row_key(docs).join(kept, "_rk", "left_semi").drop("_rk")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    docs = file_table(docs)
+    return only(docs, exact_groups(docs, id_col, text_col).filter("kept").select("_rk"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
