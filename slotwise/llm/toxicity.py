@@ -285,28 +285,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_trees(np.array([r[1] for r in got]).reshape(-1, N_FEATURES), np.array([r[0] for r in got], float), model)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id, if not given) of every row, with ``score``; null and empty texts are scored like any other."""
-    keep = [id_col] if keep is None else keep
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, score): all columns of every row of ``docs`` in one struct, and its score; null and empty texts are scored like any other."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in keep])
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
+    frame = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(sent.value.words, sent.value.starts)
         for batch in batches:
             x = np.array([features(t.as_py(), codes) for t in batch.column(0)]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sent.value.scores(x))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sent.value.scores(x))], ["row", "score"])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, frame.select("row").schema.add("score", "double"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
-    return scored(docs, fit(docs, labels, id_col, text_col), id_col, text_col, docs.columns).filter(F.col("score") < threshold).select(*docs.columns)
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, whatever their names."""
+    return scored(docs, fit(docs, labels, id_col, text_col), text_col).filter(F.col("score") < threshold).select("row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
