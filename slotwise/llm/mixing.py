@@ -1,11 +1,11 @@
 """Mixing sources to target weights over fixed-length blocks, in DataFrame functions only.
 
 Every source's words, in one global order, are packed into blocks of ``block_words`` words.  The mix is a
-row of block slots cut into output shards.  One permutation over all slots deals them to the sources, so
-the sources' counts in a shard are a multinomial draw given the totals, and the totals are exact.  A
-source's slots are numbered through the shards; each round over the source's blocks maps the slot number
-through another pseudorandom permutation of the block indices, and a join by index gives the block.  The
-last slot of a source takes only as many words as its target still lacks.
+row of block slots cut into output shards of ``shard_slots``.  The sources' counts in a shard are drawn: a
+multinomial draw under the condition that the totals meet the targets to the word, which is what one
+pseudorandom permutation of all slots over the shards gives.  The q-th slot of a source takes, in each round
+over the source's blocks, the block that another permutation names, and a join by index gives its words.
+The last slot of a source takes only as many words as its target still lacks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import WS, checkpointed, ordered, permuted, prefix_sums, table, with_row_key
+from slotwise.llm.common import WS, checkpointed, file_table, ordered, permuted, prefix_sums, rows_with_key, table, with_row_key
 
 BLOCK_WORDS, SHARD_SLOTS, SEED, WEIGHTS, MOST = 512, 4096, 20260102, (5, 2, 1), 3
 CHUNK = 8192
@@ -80,74 +80,92 @@ def _spread(rows: DataFrame, count: str, name: str, parts: int) -> DataFrame:
     return chunks.withColumn(name, F.explode(F.sequence(low, high))).drop("_c")
 
 
-def shard_counts(plan: DataFrame, parts: int, seed: int, shard_slots: int) -> DataFrame:
-    """(none, src, shard, n, before): the sources' drawn slot counts per output shard, and those in earlier shards."""
+def drawn_slots(plan: DataFrame, parts: int, seed: int, shard_slots: int) -> DataFrame:
+    """(none, src, shard, slot, block, cut) of every slot; ``cut`` is the words taken of the block, null for all of them."""
     slots = _spread(plan, "_slots", "_q", parts).withColumn("_place", F.col("_first") + F.col("_q"))
-    drawn = permuted(slots, "_place", "_all", F.lit(seed).cast("long"), "_slot")
-    counts = drawn.groupBy("none", "src", F.floor(F.col("_slot") / shard_slots).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("none", "src").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    return counts.withColumn("before", F.coalesce(before, F.lit(0)))
+    slots = permuted(slots, "_place", "_all", F.lit(seed).cast("long"), "_out")
+    slots = slots.withColumn("_round", F.floor(F.col("_q") / F.col("_blocks")).cast("long")).withColumn("_k", F.pmod("_q", F.col("_blocks")))
+    slots = permuted(slots, "_k", "_blocks", _seed(seed, F.col("none"), F.col("src"), F.col("_round")), "block")
+    partial = (F.col("_q") == F.col("_slots") - 1) & (F.col("_more") > 0)
+    return slots.select("none", "src", F.floor(F.col("_out") / shard_slots).cast("long").alias("shard"), F.pmod("_out", F.lit(shard_slots)).cast("long").alias("slot"), "block", F.when(partial, F.col("_cut")).alias("cut"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(_rk, id, size, source_size, target, taken, pieces): every row of ``docs`` and the words the mix takes of it.
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """(none, src, shard, n): the sources' drawn counts per output shard."""
+    return slots.groupBy("none", "src", "shard").agg(F.count(F.lit(1)).alias("n"))
 
-    ``pieces`` lists (lo, hi, times, cut): words lo to hi of the document, taken ``times`` times, and the
-    first ``cut`` of them once more.  Nulls: text as empty, source as a source of its own, id as an id.  A
-    document without words takes nothing, as does a table without words.  Rows with equal ids are separate
-    documents.  Reruns agree: the order is by source, id, size and row key.
-    """
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, _rk, none, src, size) of every row of a file table."""
     rows = with_row_key(docs.select(*dict.fromkeys([id_col, text_col, source_col])))
-    rows = rows.select(F.col(id_col).alias("id"), "_rk", F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), n_words(F.col(text_col)).alias("size"))
-    rows = checkpointed(rows)
-    sources = checkpointed(targets(rows.groupBy("none", "src").agg(F.sum("size").alias("source_size")), weights, most))
-    plan = checkpointed(_plan(sources, block_words, most, seed))
-    slots = plan.agg(F.max("_all")).first()[0] or 0
-    parts = max(1, min(4096, -(-slots // CHUNK)))
+    return checkpointed(rows.select(F.col(id_col).alias("id"), "_rk", F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), n_words(F.col(text_col)).alias("size")))
 
-    counts = shard_counts(plan, parts, seed, shard_slots).join(plan, ["none", "src"])
-    taken = _spread(counts, "n", "_i", parts).withColumn("_r", F.col("before") + F.col("_i"))
-    taken = taken.withColumn("_round", F.floor(F.col("_r") / F.col("_blocks")).cast("long")).withColumn("_k", F.pmod("_r", F.col("_blocks")))
-    taken = permuted(taken, "_k", "_blocks", _seed(seed, F.col("none"), F.col("src"), F.col("_round")), "block")
-    partial = (F.col("_r") == F.col("_slots") - 1) & (F.col("_more") > 0)
-    blocks = taken.groupBy("none", "src", "block").agg(F.count(F.when(~partial, 1)).alias("times"), F.coalesce(F.max(F.when(partial, F.col("_cut"))), F.lit(0)).alias("cut"))
 
+def mix_layout(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, most: int = MOST) -> DataFrame:
+    """(shard, slot, at, _rk, lo, hi, upto): the mix itself.  Place ``at`` of a slot begins words lo to upto of a document.
+
+    ``hi`` is where the block's part of the document ends; ``upto`` is less in the slot that is cut.
+    """
+    plan = checkpointed(_plan(sources, block_words, most, seed))
+    slots = plan.agg(F.max("_all")).first()[0] or 0
+    slots = drawn_slots(plan, max(1, min(4096, -(-slots // CHUNK))), seed, shard_slots)
     laid = prefix_sums(ordered(rows, "none", "src", "id", "size", "_rk"), ["none", "src"], {"_at": "size"})
     first, last = F.floor(F.col("_at") / block_words).cast("long"), F.floor((F.col("_at") + F.col("size") - 1) / block_words).cast("long")
     spans = laid.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("block") * block_words, F.col("_at"))
     high = F.least((F.col("block") + 1) * block_words, F.col("_at") + F.col("size"))
-    spans = spans.select("none", "src", "block", "_rk", (low - F.col("_at")).alias("lo"), (high - F.col("_at")).alias("hi"), (low - F.col("block") * block_words).alias("_in"))
-    joined = spans.join(blocks, ["none", "src", "block"], "left").fillna(0, ["times", "cut"])
-    joined = joined.withColumn("cut", F.least(F.greatest(F.col("cut") - F.col("_in"), F.lit(0)), F.col("hi") - F.col("lo")))
-    per_doc = joined.groupBy("_rk").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times") + F.col("cut")).alias("taken"), F.sort_array(F.collect_list(F.struct("lo", "hi", "times", "cut"))).alias("pieces"))
+    spans = spans.select("none", "src", "block", "_rk", (low - F.col("_at")).alias("lo"), (high - F.col("_at")).alias("hi"), (low - F.col("block") * block_words).alias("at"))
+    joined = spans.join(slots, ["none", "src", "block"])
+    upto = F.when(F.col("cut").isNull(), F.col("hi")).otherwise(F.least(F.col("hi"), F.col("lo") + F.greatest(F.col("cut") - F.col("at"), F.lit(0))))
+    return joined.withColumn("upto", upto).filter("upto > lo").select("shard", "slot", "at", "_rk", "lo", "hi", "upto")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(_rk, id, size, source_size, target, taken, pieces): every row of ``docs`` and the words the mix takes of it.
+
+    ``pieces`` lists (lo, hi, times, cut): words lo to hi of the document, taken ``times`` times, and the
+    first ``cut`` of them once more; these sum up the document's places in ``mix_layout``.  Nulls: text as
+    empty, source as a source of its own, id as an id.  A document without words takes nothing, as does a
+    table without words.  Rows with equal ids are separate documents.  Reruns agree: the order is by source,
+    id, size and row key.  ``docs`` that is no file table is written out first, so that its rows keep their keys.
+    """
+    rows = _measured(file_table(docs), id_col, text_col, source_col)
+    sources = checkpointed(targets(rows.groupBy("none", "src").agg(F.sum("size").alias("source_size")), weights, most))
+    # Both groupings go by row, so one exchange does.
+    places = mix_layout(rows, sources, block_words, shard_slots, seed, most).repartition("_rk")
+    whole = F.col("upto") == F.col("hi")
+    places = places.groupBy("_rk", "lo", "hi").agg(F.count(F.when(whole, 1)).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("upto") - F.col("lo"))), F.lit(0)).cast("long").alias("cut"))
+    taken = F.sum((F.col("hi") - F.col("lo")) * F.col("times") + F.col("cut"))
+    per_doc = places.groupBy("_rk").agg(taken.alias("taken"), F.sum(F.col("hi") - F.col("lo")).alias("_seen"), F.sort_array(F.collect_list(F.struct("lo", "hi", "times", "cut"))).alias("pieces"))
     out = rows.join(per_doc, "_rk", "left").join(sources, ["none", "src"])
-    return out.select("_rk", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
+    return out.select("_rk", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces", "_seen")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents with the columns of ``docs``: whole texts once per full round, then what the last round takes.
 
     A document of which the mix takes nothing is left out; a part of a document is its taken words with
-    single spaces, and ``n_chars``, where there is such a column, follows the text.
+    single spaces, and ``n_chars``, where there is such a column, follows the text.  Other columns stay as
+    they are, whatever their names.
     """
-    text, names = options.get("text_col", "text"), docs.columns
-    takes = mix(docs, **options).filter("taken > 0").select("_rk", "size", "pieces", F.array_min("pieces.times").alias("_whole"))
+    text, docs = options.get("text_col", "text"), file_table(docs)
+    # Blocks that the mix takes nothing of are missing from the pieces; then no round is whole.
+    whole = F.when(F.col("_seen") == F.col("size"), F.array_min("pieces.times")).otherwise(F.lit(0).cast("long"))
+    takes = mix(docs, **options).filter("taken > 0").select("_rk", "pieces", whole.alias("whole"))
     more = F.filter(
-        F.flatten(F.transform("pieces", lambda p: F.array(
-            F.struct(p["lo"].alias("lo"), F.when(p["times"] > F.col("_whole"), p["hi"]).otherwise(p["lo"] + p["cut"]).alias("hi"))))),
+        F.transform("pieces", lambda p: F.struct(p["lo"].alias("lo"), F.when(p["times"] > F.col("whole"), p["hi"]).otherwise(p["lo"] + p["cut"]).alias("hi"))),
         lambda p: p["hi"] > p["lo"],
     )
-    takes = takes.withColumn("_more", more)
-    rows = with_row_key(docs).join(takes, "_rk")
-    words = F.filter(F.split(F.col(text), f"[{WS}]+", -1), lambda w: w != "")
-    part = F.array_join(F.flatten(F.transform("_more", lambda p: F.slice(F.col("_w"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    copies = F.concat(F.when(F.col("_whole") > 0, F.sequence(F.lit(1), F.col("_whole").cast("int"))).otherwise(F.array().cast("array<int>")), F.when(F.size("_more") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_w", F.when(F.col("_copy") == 0, words))
-    rows = rows.withColumn(text, F.when(F.col("_copy") == 0, part).otherwise(F.col(text)))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    rows = rows_with_key(docs).join(takes.select("_rk", "whole", more.alias("more")), "_rk")
+    none = F.array().cast("array<int>")
+    copies = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(1), F.col("whole").cast("int"))).otherwise(none), F.when(F.size("more") > 0, F.array(F.lit(0))).otherwise(none))
+    rows = rows.select("_row", "more", F.explode(copies).alias("copy"))
+    words = F.filter(F.split(F.col("_row")[text], f"[{WS}]+", -1), lambda w: w != "")
+    rows = rows.withColumn("words", F.when(F.col("copy") == 0, words))
+    part = F.array_join(F.flatten(F.transform("more", lambda p: F.slice(F.col("words"), (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
+    rows = rows.withColumn("new", F.when(F.col("copy") == 0, part).otherwise(F.col("_row")[text]))
+    changed = {text: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

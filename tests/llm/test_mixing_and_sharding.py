@@ -71,7 +71,10 @@ def test_mixing_query(spark, sf, empty):
 def test_shard_counts_are_whole(spark, docs):
     rows = mixing.targets(spark.createDataFrame([(False, s, n) for s, n in (("a", 4000), ("b", 900), ("c", 10))], "none boolean, src string, source_size long"))
     plan = mixing._plan(rows, 8, 3, 1)
-    counts = mixing.shard_counts(plan, 3, 1, 64).collect()
+    slots = mixing.drawn_slots(plan, 3, 1, 64)
+    places = [(r["shard"], r.slot) for r in slots.collect()]
+    assert sorted(places) == [(i // 64, i % 64) for i in range(len(places))]
+    counts = mixing.shard_counts(slots).collect()
     slots = {r.src: r._slots for r in plan.collect()}
     by_source, by_shard = Counter(), Counter()
     for r in counts:
@@ -80,6 +83,31 @@ def test_shard_counts_are_whole(spark, docs):
     assert by_source == Counter(slots) and sorted(by_shard.values())[1:] == [64] * (len(by_shard) - 1)
 
 
+def test_taken_against_a_plain_mix(spark, docs, tmp_path):
+    """Words are taken slot by slot, by hand, from the drawn slots and the words of every source in order."""
+    docs([(i, " ".join(f"d{i}w{k}" for k in range(i * 5 % 17)), "abc"[i % 3] if i % 4 else "a") for i in range(80)]).repartition(3).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    measured = mixing._measured(df, "doc_id", "text", "source")
+    sources = mixing.targets(measured.groupBy("none", "src").agg(F.sum("size").alias("source_size")))
+    words_of = {}
+    for r in sorted(df.collect(), key=lambda r: (r.source, r.doc_id)):
+        words_of.setdefault(r.source, []).extend((r.doc_id, w) for w in r.text.split())
+    want, in_order = Counter(), {}
+    for r in mixing.drawn_slots(mixing._plan(sources, 4, 3, mixing.SEED), 2, mixing.SEED, 8).collect():
+        block = words_of[r.src][r.block * 4 : r.block * 4 + 4]
+        block = block if r.cut is None else block[: r.cut]
+        want.update(i for i, _ in block)
+        in_order[r["shard"], r.slot] = [w for _, w in block]
+    got = mixing.mix(df, block_words=4, shard_slots=8).collect()
+    assert {r.id: r.taken for r in got if r.taken} == dict(want)
+    ids = {r._rk: r.id for r in got}
+    texts = {r.doc_id: r.text.split() for r in df.collect()}
+    placed = {}
+    for r in mixing.mix_layout(measured, sources, 4, 8).collect():
+        placed.setdefault((r["shard"], r.slot), []).append((r["at"], texts[ids[r._rk]][r.lo : r.upto]))
+    assert {k: [w for _, ws in sorted(v) for w in ws] for k, v in placed.items()} == in_order
+
+
 def hashed(*values):
     h = 42
     for v in values:
