@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import checkpointed, table, with_row_key
+from slotwise.llm.common import checkpointed, file_table, only, table, with_row_key
 
 RADIUS, SHINGLE, HASH_SEED = 4, 4, 42
 #: Buckets of more fingerprints are compared chunk by chunk.
@@ -63,50 +63,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _planes(fps: np.ndarray, spare: int) -> np.ndarray:
-    """64 planes of packed lanes, with ``spare`` empty words behind."""
-    lanes = -(-len(fps) // 64) * 64
-    bits = np.zeros((lanes, 8), np.uint8)
-    bits[: len(fps)] = fps.view(np.uint8).reshape(-1, 8)
+    """One plane of packed lanes a bit, with ``spare`` empty words behind; ``fps`` has a row of 64-bit words a fingerprint."""
+    lanes, width = -(-len(fps) // 64) * 64, 8 * fps.shape[1]
+    bits = np.zeros((lanes, width), np.uint8)
+    bits[: len(fps)] = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, width)
     planes = np.packbits(np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T), axis=1, bitorder="little").view("<u8")
-    return np.concatenate([planes, np.zeros((64, spare), "<u8")], axis=1)
-
-
-def _add(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, over: np.ndarray, x: np.ndarray) -> None:
-    """Adds the planes of ``x`` (a few, weight one) to the counters by carry-save adders; from 8 on ``over`` is set."""
-    n, k = x.shape[0], 0
-    while k < n:
-        if k + 1 < n:  # full adder: two planes and the ones
-            a, b = x[k], x[k + 1]
-            half = a ^ b
-            carry = (a & b) | (ones & half)
-            ones ^= half
-            k += 2
-        else:
-            carry = ones & x[k]
-            ones ^= x[k]
-            k += 1
-        carry, twos[:] = twos & carry, twos ^ carry
-        carry, fours[:] = fours & carry, fours ^ carry
-        over |= carry
+    return np.concatenate([planes, np.zeros((len(planes), spare), "<u8")], axis=1)
+
 
+def _add(counts: np.ndarray, over: np.ndarray, x: np.ndarray, level: int = 0) -> None:
+    """Adds the planes of ``x`` (weight 2 ** level) to the counters by carry-save adders; what the highest carries sets ``over``.
 
-def _beyond(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose count is over ``radius`` (0 to 7)."""
-    more = np.zeros_like(over)
-    for count in range(radius + 1, 8):
-        more |= (fours if count & 4 else ~fours) & (twos if count & 2 else ~twos) & (ones if count & 1 else ~ones)
-    return over | more
+    Two planes and the counter make one carry, so a level passes half as many planes to the next.
+    """
+    own, carries = counts[level], []
+    for k in range(0, len(x) - 1, 2):
+        half = x[k] ^ x[k + 1]
+        carries.append((x[k] & x[k + 1]) | (own & half))
+        own ^= half
+    if len(x) % 2:
+        carries.append(own & x[-1])
+        own ^= x[-1]
+    if level + 1 < len(counts):
+        _add(counts, over, carries, level + 1)
+    else:
+        for carry in carries:
+            over |= carry
+
+
+def _beyond(counts: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count is over ``radius``: the bit planes compared with it from the highest on."""
+    more, same = over.copy(), ~over
+    for level in reversed(range(len(counts))):
+        if radius >> level & 1:
+            same &= counts[level]
+        else:
+            more |= same & counts[level]
+            same &= ~counts[level]
+    return more
 
 
 def close_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, step: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of all fingerprints within ``radius`` in the same bucket.
 
-    ``fps`` (uint64) holds the buckets one after another, largest first; ``sizes`` are their sizes.  So the
-    lanes that still have a d-th successor in their bucket lie in a prefix that shrinks as d grows.
+    ``fps`` (uint64, a row of words each, or one word) holds the buckets one after another, largest first;
+    ``sizes`` are their sizes.  So the lanes that still have a d-th successor in their bucket lie in a prefix
+    that shrinks as d grows.
     """
     if not len(sizes) or sizes[0] < 2:
         return
-    planes = _planes(fps, int(sizes[0]) // 64 + 2)
+    planes = _planes(fps.reshape(len(fps), -1), int(sizes[0]) // 64 + 2)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(fps)) - 1  # successors in the bucket
     ends = np.cumsum(sizes)
     for d in range(1, int(sizes[0])):
@@ -115,19 +121,19 @@ def close_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, step:
         valid = np.zeros(words * 64, bool)
         valid[:lanes] = left[:lanes] >= d
         alive, at = np.packbits(valid, bitorder="little").view("<u8"), np.arange(words)
-        ones, twos, fours, over = (np.zeros(words, "<u8") for _ in range(4))
-        for b in range(0, 64, step):
+        counts, over = np.zeros((max(1, radius.bit_length()), words), "<u8"), np.zeros(words, "<u8")
+        for b in range(0, len(planes), step):
             p = planes[b : b + step]
             x = p[:, at + q] >> r
             if r:
                 x |= p[:, at + q + 1] << (np.uint64(64) - r)
             x ^= p[:, at]
-            _add(ones, twos, fours, over, x)
-            over = _beyond(ones, twos, fours, over, radius)
+            _add(counts, over, x)
+            over = _beyond(counts, over, radius)
             alive = alive & ~over
             keep = np.flatnonzero(alive)
             if len(keep) < len(at):  # abandon words without a lane inside the radius
-                alive, at, ones, twos, fours, over = (v[keep] for v in (alive, at, ones, twos, fours, over))
+                alive, at, over, counts = alive[keep], at[keep], over[keep], counts[:, keep]
             if not len(at):
                 break
         if len(at):
@@ -152,18 +158,18 @@ def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
-def bucket_links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Every fingerprint that is linked in its bucket, with the first one of what it is connected to there."""
+def bucket_links(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that is linked in its bucket, with the first one of what it is connected to there."""
     order = np.argsort(-sizes, kind="stable")
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[order]
     sizes = sizes[order]
     place = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-    fps = fps[place]
+    nodes, fps = nodes[place], fps[place]
     root = np.arange(len(fps))
     for i, j in close_pairs(fps, sizes, radius):
         root = _joined(root, i, j)
     linked = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[linked], fps[root[linked]]
+    return nodes[linked], nodes[root[linked]]
 
 
 # -- the distributed part ---------------------------------------------------------------------------
@@ -184,29 +190,41 @@ def band_sets(n: int, radius: int = RADIUS, most: int = 1 << 12) -> list[list[tu
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(u, v): links between different fingerprints that connect all that lie within ``radius``; no link is lost."""
-    sets = band_sets(n, radius)
     keys = []
-    for t, bands in enumerate(sets):
+    for t, bands in enumerate(band_sets(n, radius)):
         key, width = F.lit(0).cast("long"), 0
         for offset, bits in bands:
             key, width = key + F.shiftleft(F.shiftrightunsigned("fp", offset).bitwiseAND((1 << bits) - 1), width), width + bits
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
-    large = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-    keyed = keyed.join(large, ["t", "key"], "left")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, own).alias("a"), F.greatest(c, own).alias("b")))
+    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("k"))
+    return compared(keyed.select("k.t", "k.key", F.col("fp").alias("node"), F.col("fp").alias("w0")), radius, chunk)
+
+
+def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): links that connect all nodes of a bucket (t, key) whose fingerprints lie within ``radius``.
+
+    ``keyed`` has t, key, node and the words of the fingerprint, w0 and on.  Nodes of a bucket differ.
+    """
+    words = [c for c in keyed.columns if c not in ("t", "key", "node")]
+    large = checkpointed(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk))
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
-    dealt = keyed.withColumn("c", F.explode(F.when(F.col("n").isNull(), one).otherwise(pairs))).select("t", "key", "c.a", "c.b", "fp")
-    dealt = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
-    block = 1 << 18
+    if large.isEmpty():
+        keyed = keyed.withColumn("c", one[0])
+    else:
+        keyed = keyed.join(large, ["t", "key"], "left")
+        chunks = F.ceil(F.col("n") / chunk).cast("int")
+        own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, own).alias("a"), F.greatest(c, own).alias("b")))
+        keyed = keyed.withColumn("c", F.explode(F.when(F.col("n").isNull(), one).otherwise(pairs)))
+    dealt = keyed.select("t", "key", "c.a", "c.b", "node", *words).repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
+    block = 1 << 18 >> len(words).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(k: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)]))
-            u, v = bucket_links(fps, np.diff(np.append(starts, len(fps))), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        def linked(k: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate([[True], (k[1:, :4] != k[:-1, :4]).any(axis=1)]))
+            fps = np.ascontiguousarray(k[:, 5:]).view(np.uint64)
+            u, v = bucket_links(k[:, 4], fps, np.diff(np.append(starts, len(fps))), radius)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         held: list[np.ndarray] = []
         rows = 0
@@ -216,16 +234,13 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, chunk: int = CHUNK)
             rows += len(part)
             if rows >= block:
                 k = np.concatenate(held)
-                last = k[-1, :4]
-                cut = len(k)
-                while cut and (k[cut - 1, :4] == last).all():  # the last bucket may go on in the next batch
-                    cut -= 1
+                # The last bucket may go on in the next batch.
+                cut = int(np.flatnonzero((k[:, :4] != k[-1, :4]).any(axis=1))[-1:].sum() + (k[:, :4] != k[-1, :4]).any())
                 if cut:
-                    yield linked(k[:cut, :4], np.ascontiguousarray(k[:cut, 4]).view(np.uint64))
+                    yield linked(k[:cut])
                 held, rows = [k[cut:]], len(k) - cut
         if rows:
-            k = np.concatenate(held)
-            yield linked(k[:, :4], np.ascontiguousarray(k[:, 4]).view(np.uint64))
+            yield linked(np.concatenate(held))
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -235,18 +250,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star links a node's larger neighbours to its smallest one, a small star the node and its
     smaller neighbours; both keep the components, and in the end every edge leads to the smallest node.
+    The smallest neighbours are combined before the shuffle and kept as a table, so the joins with them
+    read plain exchanges and a hub with very many edges is split there.
     """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpointed(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.distinct())
         after = mark(edges)
@@ -261,24 +278,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``kept`` holds for one row of each component: the one of the smallest id (null last, then by row key).
     Null, empty and wordless texts all have fingerprint 0.  Rows with equal ids are separate rows.  An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  ``docs`` that is no file table is written out first, so
+    that its rows keep their keys.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col))
+    rows = checkpointed(fingerprints(file_table(docs), id_col, text_col))
     least = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_f").alias("f"), F.col("_i").alias("i"))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min(least).alias("least")))
     to = components(links(distinct.select("fp"), distinct.count(), radius))
-    named = distinct.join(to.select(F.col("u").alias("fp"), "v"), "fp", "left").withColumn("v", F.coalesce("v", "fp"))
-    first = named.groupBy("v").agg(F.min("least").alias("first"))
-    placed = named.select("fp", "v").join(first, "v").select("fp", "first")
+    # Only fingerprints with links go through the joins by component; the tables joined are plain files, so a large
+    # component is split there.
+    joint = checkpointed(to.select(F.col("u").alias("fp"), "v").unionByName(to.select(F.col("v").alias("fp"), "v").distinct()))
+    firsts = checkpointed(joint.join(distinct, "fp").groupBy("v").agg(F.min("least").alias("first")))
+    placed = joint.join(firsts, "v").select("fp", "first")
+    placed = checkpointed(distinct.join(placed, "fp", "left").select("fp", F.coalesce("first", "least").alias("first")))
     out = rows.join(placed, "fp")
     kept = (F.col("_f") == F.col("first.f")) & (F.col("_i") == F.col("first.i"))
     return out.select("_id", F.struct(F.col("_f").alias("f"), F.col("_i").alias("i")).alias("_rk"), "fp", F.col("first.id").alias("component_id"), kept.alias("kept"))
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component, with all columns of ``docs``."""
-    kept = near_groups(docs, id_col, text_col, radius).filter("kept").select("_rk")
-    return with_row_key(docs).join(kept, "_rk", "left_semi").drop("_rk")
+    """One row of each component, with all columns of ``docs`` as they are, whatever their names."""
+    docs = file_table(docs)
+    return only(docs, near_groups(docs, id_col, text_col, radius).filter("kept").select("_rk"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import bucket_count, packed, stored, table, unpacked, with_row_key
+from slotwise.llm.common import bucket_count, file_table, packed, stored, table, unpacked, with_row_key
 
 LENGTH, REACH, GRAM = 400, 256, 16
 #: Contexts in a batch of the index; contexts of one fingerprint from which they are split, and window starts in a part.
@@ -288,6 +288,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if not 0 < reach < 1024 or length - reach < GRAM:
         raise ValueError("reach must be under 1024 and leave 16 bytes of the length")
+    docs = file_table(docs)
     rows = with_row_key(docs.select(*dict.fromkeys([id_col, text_col]))).select("_rk", F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
     buckets = bucket_count(rows, "_text")
