@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from slotwise.llm.common import checkpointed, file_table, only, table, with_row_
 RADIUS, SHINGLE, HASH_SEED = 4, 4, 42
 #: Buckets of more fingerprints are compared chunk by chunk.
 CHUNK = 8192
+#: Edges that a task contracts at once.
+HELD_EDGES = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -245,19 +248,53 @@ def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): v is the smallest node of u's component, for every node but that one.  Alternating large and small stars.
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v, part): the edges of a task, some at a time, as stars around the smallest node of what they connect."""
+
+    most = HELD_EDGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        task, part = TaskContext.get().partitionId(), 0
+
+        def stars() -> pa.RecordBatch:
+            nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+            at = at.reshape(-1, 2)
+            root = _joined(np.arange(len(nodes)), at[:, 0], at[:, 1])
+            linked = np.flatnonzero(root != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]]), pa.array(np.full(len(linked), task << 32 | part, np.int64))], ["u", "v", "part"])
 
-    A large star links a node's larger neighbours to its smallest one, a small star the node and its
-    smaller neighbours; both keep the components, and in the end every edge leads to the smallest node.
-    The smallest neighbours are combined before the shuffle and kept as a table, so the joins with them
-    read plain exchanges and a hub with very many edges is split there.
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            if sum(map(len, held)) >= most:
+                yield stars()
+                held, part = [], part + 1
+        if held:
+            yield stars()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long, part long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v): v is the smallest node of u's component, for every node but that one.
+
+    Every task first makes stars of what its edges connect, HELD_EDGES of them at a time; then tasks that hold so many
+    each do it again with what is left.  Where one such task does, that is the result.
+    Else alternating large and small stars go on: a large star links a node's larger neighbours to its smallest one,
+    a small star the node and its smaller neighbours; both keep the components, and in the end every edge leads to
+    the smallest node.  The smallest neighbours are combined before the shuffle and kept as a table, so the joins
+    with them read plain exchanges and a hub with very many edges is split there.
     """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    stars = checkpointed(contracted(edges.filter("u <> v").repartition("u")))
+    tasks = -(-stars.count() // HELD_EDGES)
+    stars = checkpointed(contracted(stars.coalesce(max(1, tasks))))
+    if tasks < 2 and stars.agg(F.max("part").bitwiseAND(0xFFFFFFFF)).first()[0] in (None, 0):
+        return stars.select("u", "v")
+    edges = checkpointed(stars.select("u", "v").distinct())
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -288,15 +288,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, score): all columns of every row of ``docs`` in one struct, and its score; null and empty texts are scored like any other."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    frame, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(sent.value.words, sent.value.starts)
         for batch in batches:
-            x = np.array([features(t.as_py(), codes) for t in batch.column(0)]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sent.value.scores(x))], ["row", "score"])
+            x = np.array([features(t.as_py(), codes) for t in batch.column(0).flatten()[at]]).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.scores(x))], ["row", "score"])
 
-    return frame.mapInArrow(run, frame.select("row").schema.add("score", "double"))
+    return frame.mapInArrow(run, docs.select(F.struct("*").alias("row")).schema.add("score", "double"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,9 +106,12 @@ def test_large_buckets_in_chunks(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and whole
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("held", [1 << 20, 30, 5])
+def test_components_of_chains(spark, monkeypatch, held):
+    """In one task, and by stars over the remains of many."""
+    monkeypatch.setattr(simhash, "HELD_EDGES", held)
     edges = [(i, i + 1) for i in range(50)] + [(100, 300), (300, 200)]
     rng = random.Random(4)
     rng.shuffle(edges)
-    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()))
     assert got == {i: 0 for i in range(1, 51)} | {200: 100, 300: 100}

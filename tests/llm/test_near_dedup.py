@@ -1,6 +1,6 @@
 import random
 
-from slotwise.llm import near_dedup
+from slotwise.llm import near_dedup, simhash
 
 import corpus_pipeline
 
@@ -54,5 +54,31 @@ def test_copies_beyond_four_bits(spark, docs, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == survivors(rows)
 
 
+def test_chunks_of_large_groups(spark, docs, tmp_path):
+    """Groups and buckets above the limits are cut; no link is lost."""
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(i, edited(rng, words, rng.randrange(9))) for i in range(150)]
+    docs(rows).write.parquet(f"{tmp_path}/d")
+    texts = near_dedup.with_node(spark.read.parquet(f"{tmp_path}/d"), near_dedup.F.col("text"))
+    prints = near_dedup.sketches(texts).select("node", *near_dedup._FP, near_dedup.F.lit(0).alias("g"))
+    want = {frozenset(map(tuple, simhash.components(near_dedup.verified(prints, texts, n)).collect())) for n in (1024, 40)}
+    assert len(want) == 1 and len(want.pop()) == 150 - len(survivors(rows))
+
+
+def test_word_and_shingle_hashes():
+    rng = random.Random(11)
+    texts = [b"", b" \t", b"A b\x0bc", b"a B c", b"a b c d e", b"a b c d e f", b"\xc3\x89 x\xc2\xa0y z z z z z z"] + [b" ".join(rng.choice([b"aa", b"b", b"Cc"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    hashed = near_dedup.shingle_hashes(texts)
+    of, plainly = {}, [plain(t.decode()) for t in texts]
+    for h, s in zip(hashed, plainly):
+        assert len(h) == len(s)
+        of.setdefault(frozenset(h.tolist()), set()).add(frozenset(s))
+    assert all(len(v) == 1 for v in of.values()) and len(of) == len({frozenset(s) for s in plainly})
+    data = b" ".join(b"w%d" % (k * 7919 % 5003) for k in range(700_000))
+    assert all((a == b).all() for a, b in zip(near_dedup.word_hashes(data), near_dedup._words(data)))
+    assert all(near_dedup.similar(a, b) == (len(s & t) / len(s | t) >= 0.8) for a, s in zip(hashed, plainly) for b, t in zip(hashed, plainly))
+
+
 def test_empty(spark, docs):
     assert near_dedup.near_deduplicated(docs([])).count() == 0
