@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.llm.common import bounded_batches
+
 #: Bounds of a worker's caches: pieces in either generation, bytes of a kept piece, pairs of tokens.
 CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 150_000, 48, 200_000
 _packed: dict[str, "_Packed"] = {}
@@ -194,6 +196,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: st
     columns are not looked at.  ``rank_file`` is the content of a rank file, of a few MB at most whatever
     the input, and goes out as one broadcast.
     """
+    bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -21,12 +21,22 @@ WS = r"\x20\x09-\x0D"
 WALK = 64
 #: Text bytes in a bucket of packed documents, buckets at least, and bytes that a task holds before it sends its packs.
 BUCKET_BYTES, LEAST_BUCKETS, HELD_BYTES = 8 << 20, 24, 48 << 20
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, where the session keeps Spark's own default.
+
+    Texts may be long, and both sides of a Python task hold batches several times over.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by files in the shared checkpoint folder.
 
@@ -89,6 +99,7 @@ def file_table(df: DataFrame) -> DataFrame:
     Operators that read a table more than once and join on row keys start from this: only rows of files
     have keys that do not depend on the plan.
     """
+    bounded_batches(df.sparkSession)
     return df if _is_file_table(df) else stored(df)
 
 
@@ -178,6 +189,7 @@ def packed(docs: DataFrame, bucket: Column) -> DataFrame:
         if held:
             yield out()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(bucket.cast("int").alias("_b"), "*").mapInArrow(run, "b int, pack binary")
 
 

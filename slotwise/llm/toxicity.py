@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import table
+from slotwise.llm.common import bounded_batches, table
 
 #: Labelled rows to fit on at most, lexicon entries kept at most, and score from which a text counts as toxic.
 SAMPLE_ROWS, LEXICON_SIZE, THRESHOLD = 20_000, 20_000, 0.3
@@ -266,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null labels and ids are left out; of several labels of one id the largest counts.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("_id is not null and toxic is not null")
     known = known.filter(~is_held_out("_id")).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
