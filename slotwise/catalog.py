@@ -53,7 +53,9 @@ def query(name: str, sql: str | None = None):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events table; as it may be one file of one row group, its rows are dealt to all cores."""
+    table, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

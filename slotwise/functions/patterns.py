@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: '.' and '$' know only the line feed, and classes are Unicode's, as in Python.
 FLAGS = "(?dU)"
+#: Stands between the groups of a match; log lines hardly hold this control character.
+MARK = "\x01"
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,22 @@ class Pattern:
         """The same pattern, only at the start of a text."""
         return Pattern(f"{FLAGS}^(?:{self.java.removeprefix(FLAGS)})", self.names, self.groups)
 
+    def match(self, text: Column) -> Column:
+        """All groups of the first match as an array, the whole match left out; an array of one element if there is none.
+
+        One run of the pattern puts the groups between marks; only a text that holds the mark itself is
+        matched group by group.  A group that took no part gives ''.  ``captured`` reads the groups.
+        """
+        # The match is found as a search does: at the first start at which it fits.
+        whole = f"{FLAGS}\\A(?s:.*?)(?:{self.java.removeprefix(FLAGS)})(?s:.*)\\z"
+        marked = F.regexp_replace(text, F.lit(whole), F.lit(MARK + "".join(f"${g}{MARK}" for g in range(1, self.groups + 1))))
+        slowly = F.when(self.found(text), F.array(F.lit(""), *[F.regexp_extract(text, self.java, g) for g in range(1, self.groups + 1)], F.lit(""))).otherwise(F.array(text))
+        return F.when(F.contains(text, F.lit(MARK)), slowly).otherwise(F.split(marked, MARK, -1))
+
+    def captured(self, match: Column, group: int | str) -> Column:
+        """A group from ``match``."""
+        return F.get(match, self.names[group] if isinstance(group, str) else group)
+
     def group(self, text: Column, group: int | str) -> Column:
         """A group of the first match; '' if there is no match or the group took no part."""
         return F.regexp_extract(text, self.java, self.names[group] if isinstance(group, str) else group)

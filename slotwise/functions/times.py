@@ -33,15 +33,19 @@ def parsed(text: Column) -> Column:
 
     Digits past the microsecond are cut off.  Offsets reach to 23:59.
     """
-    offset = F.regexp_extract(text, _ISO, 2)
-    seconds = F.when(offset == "", F.lit(None)).otherwise(
-        F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).cast("int") * 3600 + F.substring(offset, 5, 2).cast("int") * 60)
-    )
-    good = text.rlike(_ISO) & ((offset == "") | ((F.substring(offset, 2, 2) < "24") & (F.substring(offset, 5, 2) < "60")))
-    plain = F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8), F.substring(F.regexp_extract(text, _ISO, 1), 1, 7))
-    local = F.when(good, plain).try_cast("timestamp_ntz")
-    stamp = F.struct(local.alias("ts_local"), seconds.cast("int").alias("tz_offset_s"), (local_us(local) - F.coalesce(seconds, F.lit(0)).cast("long") * 1_000_000).alias("ts_us"))
-    return F.when(local.isNotNull(), stamp)
+    # One pattern decides the form; then all parts stand at fixed places, the offset at the end.
+    tail = F.substring(text, 20, 1 << 20)
+    with_offset = F.substring(tail, -6, 1).isin("+", "-")
+    offset = F.when(with_offset, F.substring(tail, -6, 6))
+    seconds = F.when(offset.startswith("-"), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 3600 + F.substring(offset, 5, 2).try_cast("int") * 60)
+    good = text.rlike(_ISO) & (~with_offset | ((F.substring(tail, -5, 2) < "24") & (F.substring(tail, -2, 2) < "60")))
+    digits = F.substring(F.when(with_offset, F.left(tail, F.length(tail) - 6)).otherwise(tail), 2, 6)
+    whole = F.when(good, F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8))).try_cast("timestamp_ntz")
+    local = F.when(digits == "", whole).otherwise(F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8), F.lit("."), digits).try_cast("timestamp_ntz"))
+    part = lambda at: F.substring(text, at, 2).try_cast("int").cast("long")
+    us = F.unix_date(whole.cast("date")).cast("long") * DAY_US + part(12) * 3_600_000_000 + part(15) * 60_000_000 + part(18) * 1_000_000 + F.rpad(digits, 6, "0").try_cast("int")
+    stamp = F.struct(local.alias("ts_local"), seconds.cast("int").alias("tz_offset_s"), (us - F.coalesce(seconds, F.lit(0)).cast("long") * 1_000_000).alias("ts_us"))
+    return F.when(whole.isNotNull(), stamp)
 
 
 def parsed_loose(text: Column) -> Column:
@@ -58,7 +62,9 @@ def extracted(line: Column, pattern: Pattern) -> Column:
 
 
 def first_stamp(line: Column, pattern: Pattern) -> Column:
-    return F.try_element_at(extracted(line, pattern), F.lit(1))
+    """The first stamp of a line.  All matches are looked at only where the first one is no real time."""
+    first = F.concat(F.regexp_extract(line, pattern.java, 1), F.regexp_extract(line, pattern.java, 2))
+    return F.coalesce(parsed(first), F.when(first != "", F.try_element_at(extracted(line, pattern), F.lit(1))))
 
 
 def filled(stamp: Column, offset_s: Column) -> Column:

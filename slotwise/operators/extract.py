@@ -42,23 +42,32 @@ def sequence_of(line: Column, pattern: Pattern) -> Column:
     return F.coalesce(F.nullif(pattern.group(line, 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
+def _matched(lines: DataFrame, p: Pattern) -> DataFrame:
+    """The lines in which the pattern is found, with its groups in ``m``: one run of the pattern a line.
+
+    The array is exploded, as the optimizer would copy a plain column into the filter and run the pattern there again.
+    """
+    return lines.withColumn("m", F.explode(F.filter(F.array(p.match(F.col("line"))), lambda m: F.size(m) > 1)))
+
+
 def diagnostic_entries(lines: DataFrame, config: ModuleConfig) -> DataFrame:
     """Lines that contain the module's upper-case name and, anywhere, its pattern."""
-    p, line = portable(config.diag_pattern), F.col("line")
-    rows = lines.filter((F.col("family") == "diagnostic") & line.contains(config.module_name.upper()) & p.found(line))
-    process = text.dashed_process(p.group(line, "ProcessName"))
-    active = p.group(line, "Context").rlike(portable(config.active_master_keyword).java) if config.active_master_keyword else F.lit(False)
+    p, line, m = portable(config.diag_pattern), F.col("line"), F.col("m")
+    rows = _matched(lines.filter((F.col("family") == "diagnostic") & line.contains(config.module_name.upper())), p)
+    process = text.dashed_process(p.captured(m, "ProcessName"))
+    active = p.captured(m, "Context").rlike(portable(config.active_master_keyword).java) if config.active_master_keyword else F.lit(False)
     return _entries(
         rows, config, "diagnostic", F.concat(F.lit("slot_"), "scope", F.lit("/"), "name"),
-        slot=text.stripped(p.group(line, "Slot")), cpu=text.plain_cpu(p.group(line, "CPU_Id")), process=process["process"], pid=process["pid"],
-        context=p.group(line, "Context"), sequence=sequence_of(line, portable(config.sequence_pattern)), active=active,
+        slot=text.stripped(p.captured(m, "Slot")), cpu=text.plain_cpu(p.captured(m, "CPU_Id")), process=process["process"], pid=process["pid"],
+        context=p.captured(m, "Context"), sequence=sequence_of(line, portable(config.sequence_pattern)), active=active,
     )
 
 
 def journal_match(line: Column, config: ModuleConfig) -> Column:
     """struct(pattern, name, pid, sequence, context) of the first pattern that fits from the start of the line, else null.
 
-    The configured patterns come first; only a line without any marker ``No[`` is tried without sequence.
+    The configured patterns come first; only a line without any marker ``No[`` is tried without sequence.  Patterns
+    are tried one after another, each run once and only where those before it failed.
     """
     tries = []
     named = [("journal.line_pattern", config.line_pattern), ("journal.line_pattern2", config.line_pattern2)]
@@ -68,21 +77,29 @@ def journal_match(line: Column, config: ModuleConfig) -> Column:
             continue
         p = portable(pattern).at_start()
         numbered = p.groups >= 4
-        fits = line.rlike(p.java) & (~line.contains("No[") if bare else F.lit(True))
-        found = F.struct(
-            F.lit(name).alias("pattern"), p.group(line, 1).alias("name"), (p.group(line, 2) if p.groups >= 2 else F.lit("")).alias("pid"),
-            (F.coalesce(p.group(line, 3).try_cast("int"), F.lit(0)) if numbered else F.lit(0)).alias("sequence"),
-            p.group(line, 4 if numbered else min(3, p.groups)).alias("context"),
-        )
-        tries.append(F.when(fits, found))
-    return F.coalesce(*tries) if tries else F.lit(None)
+
+        def found(m: Column) -> Column:  # called at once, below
+            return F.struct(
+                F.lit(name).alias("pattern"), p.captured(m, 1).alias("name"), (p.captured(m, 2) if p.groups >= 2 else F.lit("")).alias("pid"),
+                (F.coalesce(p.captured(m, 3).try_cast("int"), F.lit(0)) if numbered else F.lit(0)).alias("sequence"),
+                p.captured(m, 4 if numbered else min(3, p.groups)).alias("context"),
+            )
+
+        match = p.match(line)
+        one = F.get(F.transform(F.filter(F.array(F.when(~line.contains("No["), match) if bare else match), lambda m: F.size(m) > 1), found), 0)
+        tries.append(one)
+    if not tries:
+        return F.lit(None)
+    chosen = F.lit(None).cast("struct<pattern:string,name:string,pid:string,sequence:int,context:string>")
+    step = lambda done, k: F.coalesce(done, *[F.when(k == i, t) for i, t in enumerate(tries)])
+    return F.aggregate(F.array(*[F.lit(i) for i in range(len(tries))]), chosen, step)
 
 
 def journal_entries(lines: DataFrame, config: ModuleConfig) -> DataFrame:
     """Lines that contain the module's name and, case ignored, its keyword, and fit one of its patterns."""
     line = F.col("line")
     rows = lines.filter((F.col("family") == "journal") & line.contains(config.module_name.upper()) & F.lower(line).contains(config.identifying_keyword.lower()))
-    rows = rows.withColumn("m", journal_match(line, config)).filter(F.col("m").isNotNull())
+    rows = rows.withColumn("m", F.explode(F.filter(F.array(journal_match(line, config)), lambda m: m.isNotNull())))
     if config.required_substrings:
         some = F.exists(F.array(*[F.lit(s) for s in config.required_substrings]), lambda s: F.contains(line, s))
         rows = rows.filter(~F.col("m.pattern").startswith("journal.line_pattern2") | some)
@@ -97,13 +114,13 @@ def journal_entries(lines: DataFrame, config: ModuleConfig) -> DataFrame:
 
 def keyword_entries(lines: DataFrame, config: ModuleConfig) -> DataFrame:
     """The second family: keyword contained, pattern anywhere, slot the last part of a frame path, process ``name[pid]``."""
-    p, line = portable(config.diag_pattern), F.col("line")
-    rows = lines.filter((F.col("family") == "diagnostic") & line.contains(config.identifying_keyword) & p.found(line))
-    process = text.bracket_process(text.stripped(p.group(line, "ProcessName")))
+    p, line, m = portable(config.diag_pattern), F.col("line"), F.col("m")
+    rows = _matched(lines.filter((F.col("family") == "diagnostic") & line.contains(config.identifying_keyword)), p)
+    process = text.bracket_process(text.stripped(p.captured(m, "ProcessName")))
     return _entries(
         rows, config, "diagnostic", F.concat(F.lit("slot_"), "scope", F.lit("/"), "name"),
-        slot=text.last_part(p.group(line, "Slot")), cpu=text.plain_cpu(p.group(line, "CPU_Id")), process=process["process"], pid=process["pid"],
-        context=p.group(line, "Context"), sequence=F.lit(0), active=F.lit(False),
+        slot=text.last_part(p.captured(m, "Slot")), cpu=text.plain_cpu(p.captured(m, "CPU_Id")), process=process["process"], pid=process["pid"],
+        context=p.captured(m, "Context"), sequence=F.lit(0), active=F.lit(False),
     )
 
 
