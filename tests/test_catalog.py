@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from slotwise import catalog, catalog_details  # noqa: F401
+from slotwise import catalog, catalog_details, catalog_packages  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from slotwise import catalog, catalog_details  # noqa: F401
+from slotwise import catalog, catalog_details, catalog_packages  # noqa: F401
 
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
