@@ -203,22 +203,64 @@ def l04(spark, d):
     return lives.select("slot", "lifecycle_index", "start_us", "end_us", "log_count", F.size("candidate_indices").cast("long").alias("candidates"))
 
 
-@query("l05_merge_decisions")
+def _scope_fold(x: str, source: str) -> str:
+    """The fold over any scope ``k`` of a source with ev (rows that are evidence); tables end in ``x``.
+
+    k: its segments with their lifecycle.  r: why a boundary stays.
+    """
+    return f""",
+g{x} AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY k ORDER BY ts_us) >= {GAP_S * 1_000_000} THEN 1 ELSE 0 END AS b FROM {source}),
+s{x} AS (SELECT *, CAST(sum(b) OVER (PARTITION BY k ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS INTEGER) AS seg FROM g{x}),
+c{x} AS (SELECT k, seg, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS log_count FROM s{x} GROUP BY ALL),
+v{x} AS (SELECT k, seg, process_name, pid, sequence, ts_us FROM s{x} WHERE ev AND process_name = 'click'),
+p{x} AS (SELECT k, seg, process_name, list_sort(list(DISTINCT pid)) AS pids FROM v{x} GROUP BY ALL),
+q{x} AS (SELECT k, seg, process_name, arg_min(sequence, ts_us) AS first, arg_max(sequence, ts_us) AS last FROM v{x} WHERE sequence > 0 GROUP BY ALL),
+i{x} AS (
+  SELECT k, seg AS i, before AS after, 'reliable_pid_conflict' AS reason, process_name, NULL::INTEGER AS old, NULL::INTEGER AS new FROM (SELECT *, lag(seg) OVER w AS before, lag(pids) OVER w AS old FROM p{x} WINDOW w AS (PARTITION BY k, process_name ORDER BY seg)) WHERE before IS NOT NULL AND len(list_distinct(list_concat(old, pids))) > 1
+  UNION ALL SELECT k, seg, seg - 1, 'reliable_pid_conflict', process_name, NULL, NULL FROM p{x} WHERE len(pids) > 1 UNION ALL SELECT k, seg + 1, seg, 'reliable_pid_conflict', process_name, NULL, NULL FROM p{x} WHERE len(pids) > 1
+  UNION ALL SELECT k, seg, before, 'journal_wrap', process_name, old, first FROM (SELECT *, lag(seg) OVER w AS before, lag(last) OVER w AS old FROM q{x} WINDOW w AS (PARTITION BY k, process_name ORDER BY seg)) WHERE first < old),
+m{x} AS (SELECT k, i, max(after) AS after, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM i{x} WHERE i > 0 AND (k, i) IN (SELECT (k, seg) FROM c{x}) GROUP BY k, i),
+f{x}(k, n, cut, prev, last) AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(-1 AS INTEGER), CAST(0 AS INTEGER), CAST(0 AS INTEGER) FROM c{x}
+  UNION ALL SELECT m.k, m.n, CAST(CASE WHEN m.after >= f.last THEN m.i ELSE -1 END AS INTEGER), f.last, CAST(CASE WHEN m.after >= f.last THEN m.i ELSE f.last END AS INTEGER) FROM f{x} f JOIN m{x} m ON m.k = f.k AND m.n = f.n + 1),
+k{x} AS (SELECT c.k, c.seg, c.start_us, c.end_us, c.log_count, (SELECT count(*) FROM f{x} f WHERE f.k = c.k AND f.cut > 0 AND f.cut <= c.seg) AS life FROM c{x} c),
+r{x} AS (SELECT i.* FROM i{x} i JOIN f{x} f ON f.k = i.k AND f.cut = i.i WHERE i.after >= f.prev),
+d{x} AS (SELECT k, seg, (start_us - lag(end_us) OVER (PARTITION BY k ORDER BY seg)) / 1000000 AS gap_seconds, (SELECT min(reason) FROM r{x} r WHERE r.k = o.k AND r.i = o.seg) AS reason FROM c{x} o),
+l{x} AS (SELECT k, life, min(start_us) AS start_us, max(end_us) AS end_us FROM k{x} GROUP BY ALL)"""
+
+
+#: Boards by all rows of a slot, judged by those without a cpu; CPUs inside each board lifecycle.
+_LIVES = (
+    BASE.replace("WITH e", "WITH RECURSIVE e").rstrip() + ",\nsb AS (SELECT *, {'slot': slot, 'cpu': NULL::VARCHAR, 'parent': ''} AS k, cpu_id = '' AS ev FROM e)" + _scope_fold("1", "sb") + """,
+pb AS (SELECT s.*, 'board:' || s.slot || ':board:root:lifecycle:' || t.life AS board FROM s1 s JOIN k1 t ON t.k = s.k AND t.seg = s.seg),
+sc AS (SELECT * EXCLUDE (k, ev, b, seg), {'slot': slot, 'cpu': cpu_id, 'parent': board} AS k, TRUE AS ev FROM pb WHERE cpu_id <> '')""" + _scope_fold("2", "sc") + """,
+life AS (SELECT 'board' AS scope, 'board:' || k.slot || ':board:root:lifecycle:' || life AS id, * FROM l1 UNION ALL SELECT 'cpu', 'cpu:' || k.slot || ':' || k.cpu || ':' || k.parent || ':lifecycle:' || life, * FROM l2),
+pid AS (SELECT DISTINCT board AS id, process_name, pid FROM pb WHERE cpu_id = '' UNION SELECT DISTINCT 'cpu:' || s.slot || ':' || s.cpu_id || ':' || s.board || ':lifecycle:' || t.life, s.process_name, s.pid FROM s2 s JOIN k2 t ON t.k = s.k AND t.seg = s.seg)
+"""
+)
+_KEY = "k.slot AS slot, k.cpu AS cpu_id, k.parent AS parent_lifecycle_id"
+
+
+@query("l05_merge_decisions", _LIVES + "".join(f"{u}SELECT '{n}' AS scope, {_KEY}, seg - 1 AS left_index, seg AS right_index, CASE WHEN (k, seg) IN (SELECT (k, cut) FROM f{x}) THEN 'kept_split' ELSE 'merged' END AS decision, reason, gap_seconds FROM d{x} WHERE seg > 0" for u, n, x in (("", "board", "1"), (" UNION ALL ", "cpu", "2"))))
 def l05(spark, d):
     return event_lifecycles(spark, d).decisions
 
 
-@query("l08_wrap_evidence")
+@query("l08_wrap_evidence", _LIVES + "".join(f"{u}SELECT '{n}' AS scope, {_KEY}, CAST(i AS INTEGER) AS right_index, process_name, old AS old_sequence, new AS new_sequence FROM r{x} WHERE reason = 'journal_wrap'" for u, n, x in (("", "board", "1"), (" UNION ALL ", "cpu", "2"))))
 def l08(spark, d):
     return event_lifecycles(spark, d).evidence
 
 
-@query("l09_issues")
+@query("l09_issues", _LIVES + f""", many AS (SELECT id, process_name, list_sort(list(pid)) AS pids FROM pid WHERE process_name = 'click' GROUP BY ALL HAVING count(*) > 1),
+again AS (SELECT process_name, pid, life.*, lag(life) OVER w AS before, lag(life.id) OVER w AS other FROM pid JOIN life ON life.id = pid.id WINDOW w AS (PARTITION BY scope, k, process_name, pid ORDER BY life))
+SELECT 'reliable_process_multiple_pid_in_lifecycle' AS type, 'error' AS severity, scope, {_KEY}, process_name AS related_process, array_to_string(pids, ',') AS observed_pids, life.id AS affected FROM many JOIN life ON life.id = many.id
+UNION ALL SELECT 'pid_reuse_assumption_violation', 'warning', scope, {_KEY}, process_name, pid, other || ',' || id FROM again WHERE before = life - 1""")
 def l09(spark, d):
-    return event_lifecycles(spark, d).issues
+    return event_lifecycles(spark, d).issues.withColumns({c: F.concat_ws(",", c) for c in ("observed_pids", "affected")})
 
 
-@query("l11_cycles")
+@query("l11_cycles", _LIVES + """SELECT id, scope, k.slot AS slot, k.cpu AS cpu_id, k.parent AS parent_id, CAST(row_number() OVER (PARTITION BY k.slot ORDER BY scope, k.cpu NULLS FIRST, start_us) - 1 AS INTEGER) AS cycle_ord, start_us, end_us,
+strftime(make_timestamp(start_us), '%Y%m%d%H%M%S') || '-' || strftime(make_timestamp(end_us), '%Y%m%d%H%M%S') AS dir_name FROM life""")
 def l11(spark, d):
     return lifecycle.cycles(event_lifecycles(spark, d))
 
