@@ -23,6 +23,7 @@ from slotwise.storage import cut
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The patterns of the two log families, which the formats of the devices decide.
 MODULE = extract.ModuleConfig(
     "module1", "EXAMPLE", r"Service=(?P<Service>[^;]+).*?Slot=(?P<Slot>[^;,)]+).*?CPU-Id=(?P<CPU_Id>[^;,)]*).*?ProcessName=(?P<ProcessName>[^;,)]+).*?Context=(?P<Context>.+?)\)$",
     identifying_keyword="example", line_pattern=r"^\S+\s+\S+\s+\S+?:\s+\[slotId\s*=\s*\d+,\s*cpuId\s*=\s*\d+,\s*processName\s*=\s*(\S+?)-(\d+)\]:\s+No\[(\d+)\](.+)$",
@@ -349,10 +350,34 @@ def j05(spark, d):
     return correlate.pid_matches(rows, event_upstream(spark, d)).select("entry_ord", "board_id")
 
 
-@query("j07_matches")
+#: The first match of every journal entry: by time, by pid among the nearest cycles, or none.
+MATCHES = _CYCLES.rstrip() + """,
+db AS (SELECT s.slot, cy.ord, s.cpu_id, s.process_name, s.pid, s.ts_us FROM s JOIN cy ON s.slot = cy.slot AND s.seg = cy.ord),
+cpu AS (SELECT slot, ord, cpu_id, min(ts_us) AS start_us, max(ts_us) AS end_us FROM db WHERE cpu_id <> '' GROUP BY ALL),
+wp AS (SELECT DISTINCT slot, ord, '' AS cpu_id, process_name, pid FROM db UNION ALL SELECT DISTINCT slot, ord, cpu_id, process_name, pid FROM db WHERE cpu_id <> ''),
+bt AS (SELECT entry_ord, min(ord) AS ord FROM pt JOIN cy ON pt.slot = cy.slot AND ts_us BETWEEN start_us AND end_us GROUP BY 1),
+ct AS (SELECT bt.entry_ord, bt.ord, cpu.cpu_id AS own FROM bt JOIN pt USING (entry_ord) LEFT JOIN cpu ON cpu.slot = pt.slot AND cpu.ord = bt.ord AND cpu.cpu_id = pt.cpu_id AND pt.ts_us BETWEEN cpu.start_us AND cpu.end_us),
+lost AS (SELECT pt.* FROM pt WHERE pid <> '' AND entry_ord NOT IN (SELECT entry_ord FROM bt)),
+near AS (SELECT lost.*, cy.ord, cy.start_us, cy.end_us FROM lost JOIN cy ON lost.slot = cy.slot QUALIFY rank() OVER (PARTITION BY entry_ord ORDER BY greatest(start_us - ts_us, ts_us - end_us)) = 1),
+cand AS (SELECT entry_ord, slot, cpu_id, process_name, pid, ts_us, ord, start_us, end_us FROM near WHERE cpu_id = ''
+  UNION ALL SELECT near.entry_ord, near.slot, near.cpu_id, near.process_name, near.pid, near.ts_us, near.ord, cpu.start_us, cpu.end_us FROM near JOIN cpu ON cpu.slot = near.slot AND cpu.ord = near.ord AND cpu.cpu_id = near.cpu_id),
+hit AS (SELECT entry_ord, cand.ord, cand.cpu_id, ts_us, start_us, end_us, max(CASE WHEN wp.process_name = cand.process_name THEN 1 ELSE 0 END) AS same FROM cand JOIN wp ON wp.slot = cand.slot AND wp.ord = cand.ord AND wp.cpu_id = cand.cpu_id AND wp.pid = cand.pid GROUP BY ALL),
+h1 AS (SELECT * FROM hit QUALIFY same = max(same) OVER (PARTITION BY entry_ord)),
+h2 AS (SELECT *, greatest(start_us - ts_us, ts_us - end_us, 0) AS far FROM h1 QUALIFY far = min(far) OVER (PARTITION BY entry_ord)),
+bm AS (SELECT entry_ord, min(ord) AS ord, min(cpu_id) AS own FROM h2 GROUP BY 1 HAVING count(*) = 1),
+mt AS (SELECT pt.*, coalesce(ct.ord, bm.ord) AS ord, CASE WHEN ct.ord IS NOT NULL THEN ct.own ELSE nullif(bm.own, '') END AS own,
+  CASE WHEN pt.slot NOT IN (SELECT slot FROM cy) THEN 'no_upstream_slot' WHEN ct.ord IS NOT NULL AND pt.cpu_id <> '' AND ct.own IS NULL THEN 'no_cpu_cycle_contains_timestamp' WHEN ct.ord IS NOT NULL THEN 'matched_by_time'
+  WHEN bm.ord IS NOT NULL THEN 'matched_by_pid' ELSE 'no_board_cycle_contains_timestamp' END AS reason FROM pt LEFT JOIN ct USING (entry_ord) LEFT JOIN bm USING (entry_ord)),
+el AS (SELECT DISTINCT mt.entry_ord FROM mt JOIN wp ON wp.slot = mt.slot AND wp.cpu_id = mt.cpu_id AND wp.pid = mt.pid WHERE mt.pid <> '' AND reason IN ('matched_by_time', 'no_cpu_cycle_contains_timestamp') AND NOT (wp.ord = mt.ord AND (mt.cpu_id = '' OR mt.own IS NOT NULL))),
+fin AS (SELECT mt.entry_ord, slot, cpu_id, process_name, pid, ts_us, reason, CASE WHEN ord IS NULL THEN 'unknown' ELSE 'assigned' END AS status, slot || ':' || ord AS board_id, slot || ':' || ord || '/' || own AS own_id, entry_ord IN (SELECT entry_ord FROM el) AS blocked FROM mt)
+"""
+
+
+@query("j07_matches", MATCHES + "SELECT entry_ord, status, reason, board_id, own_id, blocked FROM fin")
 def j07(spark, d):
+    """The first match of every journal, on boards and CPUs."""
     out = correlate.matches(event_entries(spark, d).filter("source = 'journal'"), event_upstream(spark, d))
-    return out.groupBy("slot", "reason", "status").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("entry_ord", "status", "reason", "board_id", "own_id", F.col("pid_fallback_blocked_by_time_cycle").alias("blocked"))
 
 
 @query("j11_reassigned")
@@ -461,16 +486,12 @@ def o09(spark, d):
 # -- text, files, onboarding ------------------------------------------------------------------------
 
 
-@query("s21_safe_segment", r"""SELECT item_id, CASE WHEN regexp_full_match(t, '[A-Za-z0-9_.-]+') THEN t ELSE regexp_replace(t, ' ', '~U00000020', 'g') || '~H' || left(sha256(t), 16) END AS segment
-FROM (SELECT item_id, regexp_replace(left(text, 12), '[^A-Za-z ]', 'x', 'g') AS t FROM benchmark)""")
-def s21(spark, d):
-    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.regexp_replace(F.substring("text", 1, 12), "[^A-Za-z ]", "x").alias("t"))
-    return rows.select("item_id", text.safe_segment(F.col("t")).alias("segment"))
-
-
-@query("s21_whole_segment")
+@query("s21_whole_segment", """WITH t AS (SELECT item_id, text, list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9_.-]') THEN c ELSE '~U' || printf('%08x', unicode(c)) END) AS parts FROM benchmark)
+SELECT item_id, CASE WHEN coalesce(text, '') = '' THEN 'unknown'
+  WHEN regexp_full_match(text, '[A-Za-z0-9_.-]+') AND text NOT IN ('.', '..') AND NOT ends_with(text, '.') AND NOT regexp_full_match(upper(split_part(text, '.', 1)), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]') THEN text
+  ELSE array_to_string(parts, '') || '~H' || left(sha256(text), 16) END AS segment FROM t""")
 def s21_whole(spark, d):
-    """Whole texts; s21_safe_segment takes twelve characters, as its SQL does."""
+    """Whole texts."""
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", text.safe_segment(F.col("text")).alias("segment"))
 
 

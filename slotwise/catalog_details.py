@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.catalog import _CYCLES, event_cycles, event_entries, event_points, event_upstream, query
+from slotwise.catalog import _CYCLES, MATCHES, event_cycles, event_entries, event_points, event_upstream, query
 from slotwise.functions import text, times
 from slotwise.functions.patterns import matches_any, portable
 from slotwise.operators import aggregates, correlate, entries, intervals, lifecycle
@@ -112,15 +112,9 @@ def s25(spark, d):
     return count(event_entries(spark, d).select(text.is_compressed(name, [".gz", ".tgz", ".zip"]).alias("packed")), "packed")
 
 
-@query("s27_raw_and_previews", "SELECT doc_id, left(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), 500) AS raw FROM documents WHERE regexp_full_match(left(text, 1), '[A-Za-z]')")
-def s27(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").filter(F.substring("text", 1, 1).rlike("^[A-Za-z]$"))
-    return rows.select("doc_id", text.raw_text(F.col("text")).alias("raw"))
-
-
 @query("s27_all_raw", "SELECT doc_id, left(regexp_replace(regexp_replace(text, '^[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ''), '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', ''), 500) AS raw FROM documents")
 def s27_all(spark, d):
-    """All texts; s27_raw_and_previews takes those that begin with a letter, as its SQL does."""
+    """All texts."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.raw_text(F.col("text")).alias("raw"))
 
 
@@ -158,13 +152,6 @@ def j06(spark, d):
     return correlate.pid_elsewhere(placed, up).select("entry_ord")
 
 
-@query("j07_time_reasons", _CYCLES + """, m AS (SELECT pt.entry_ord, pt.slot, max(CASE WHEN cy.ord IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM pt LEFT JOIN cy ON pt.slot = cy.slot AND ts_us BETWEEN start_us AND end_us WHERE cpu_id = '' GROUP BY ALL)
-SELECT CASE WHEN hit = 1 THEN 'matched_by_time' ELSE 'other' END AS reason, count(*) AS n FROM m GROUP BY 1""")
-def j07(spark, d):
-    out = correlate.matches(event_entries(spark, d).filter("source = 'journal' and cpu_id = ''"), event_upstream(spark, d))
-    return count(out.select(F.when(F.col("reason") == "matched_by_time", F.col("reason")).otherwise("other").alias("reason")), "reason")
-
-
 @query("o07_nearest_three", _CYCLES + """, o AS (SELECT pt.* FROM pt WHERE NOT EXISTS (FROM cy WHERE cy.slot = pt.slot AND pt.ts_us BETWEEN start_us AND end_us)),
 r AS (SELECT entry_ord, ord, greatest(start_us - ts_us, ts_us - end_us) AS distance_us FROM o JOIN cy ON o.slot = cy.slot)
 SELECT *, CAST(row_number() OVER (PARTITION BY entry_ord ORDER BY distance_us, ord) AS INTEGER) AS place FROM r QUALIFY place <= 3""")
@@ -219,16 +206,11 @@ def l18(spark, d):
     return correlate.correlated_cycles(cut(correlate.reassigned(matched, up)), up)
 
 
-@query("l19_decisions", _CYCLES + ", m AS (SELECT pt.entry_ord, min(cy.ord) AS ord FROM pt LEFT JOIN cy ON pt.slot = cy.slot AND ts_us BETWEEN start_us AND end_us WHERE cpu_id = '' AND pid = '1' GROUP BY ALL) SELECT count(*) AS n, count(ord) AS by_time FROM m")
-def l19(spark, d):
-    out = correlate.decisions(correlate.matches(event_entries(spark, d).filter("source = 'journal' and cpu_id = '' and pid = '1'"), event_upstream(spark, d)))
-    return out.agg(F.countDistinct("entry_ref").alias("n"), F.count_if(F.col("reason") == "matched_by_time").alias("by_time"))
-
-
-@query("l19_all_decisions")
+@query("l19_all_decisions", MATCHES + "SELECT status, reason, board_id, own_id, blocked, ts_us, 'slot_' || slot || '/events.log' AS source_file, process_name, pid, TRUE AS referenced FROM fin")
 def l19_all(spark, d):
-    """Rows about all journals; l19_decisions counts those of one pid, as its SQL does."""
-    return correlate.decisions(correlate.matches(event_entries(spark, d).filter("source = 'journal'"), event_upstream(spark, d)))
+    """Rows about all journals; references name one entry each."""
+    out = correlate.decisions(correlate.matches(event_entries(spark, d).filter("source = 'journal'"), event_upstream(spark, d)))
+    return out.select("status", "reason", "board_id", "own_id", F.col("pid_fallback_blocked_by_time_cycle").alias("blocked"), "ts_us", "source_file", "process_name", "pid", (F.length("entry_ref") > 0).alias("referenced"))
 
 
 @query("l21_active_slots", "SELECT DISTINCT slot FROM e WHERE process_name = 'error'")
@@ -236,15 +218,9 @@ def l21(spark, d):
     return lifecycle.active_slots(event_entries(spark, d).withColumn("is_active_signal", F.col("process_name") == "error"))
 
 
-@query("w03_adjacent_pairs", "SELECT a.entry_ord, b.entry_ord AS next FROM e a JOIN e b ON b.entry_ord = (SELECT min(entry_ord) FROM e c WHERE c.slot = a.slot AND c.entry_ord > a.entry_ord) WHERE a.entry_ord < 300")
-def w03(spark, d):
-    by = W.partitionBy("slot").orderBy("entry_ord")
-    return event_entries(spark, d).withColumn("next", F.lead("entry_ord").over(by)).filter("entry_ord < 300 and next is not null").select("entry_ord", "next")
-
-
 @query("w03_all_adjacent_pairs", ", t AS (SELECT entry_ord, lead(entry_ord) OVER (PARTITION BY slot ORDER BY entry_ord) AS next FROM e) SELECT entry_ord, next FROM t WHERE next IS NOT NULL")
 def w03_all(spark, d):
-    """All pairs; w03_adjacent_pairs stops at entry 300, as its SQL does."""
+    """All pairs of neighbours in a slot."""
     by = W.partitionBy("slot").orderBy("entry_ord")
     return event_entries(spark, d).withColumn("next", F.lead("entry_ord").over(by)).filter("next is not null").select("entry_ord", "next")
 
@@ -287,16 +263,9 @@ def g12(spark, d):
     return aggregates.unknown_count(event_entries(spark, d).withColumn("board_id", F.when(i % 7 != 0, "b")).withColumn("own_id", F.when(i % 3 != 0, "c")))
 
 
-@query("o01_entry_order", ", t AS (SELECT entry_ord, slot, row_number() OVER (PARTITION BY slot ORDER BY sequence, entry_ord) AS n FROM e) SELECT entry_ord, slot FROM t WHERE n <= 3")
-def o01(spark, d):
-    """Without times the order goes on with the sequence."""
-    rows = event_entries(spark, d).withColumn("ts_us", F.lit(None).cast("long")).withColumn("raw", F.lit(""))
-    return rows.withColumn("n", F.row_number().over(W.partitionBy("slot").orderBy(*entries.total_order()))).filter("n <= 3").select("entry_ord", "slot")
-
-
 @query("o01_whole_order", "SELECT entry_ord, slot, CAST(row_number() OVER (PARTITION BY slot ORDER BY sequence, entry_ord) AS INTEGER) AS n FROM e")
 def o01_whole(spark, d):
-    """Every entry with its place; o01_entry_order gives three a slot, as its SQL does."""
+    """Every entry with its place; without times the order goes on with the sequence."""
     rows = event_entries(spark, d).withColumn("ts_us", F.lit(None).cast("long")).withColumn("raw", F.lit(""))
     return rows.withColumn("n", F.row_number().over(W.partitionBy("slot").orderBy(*entries.total_order()))).select("entry_ord", "slot", "n")
 

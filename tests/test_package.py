@@ -14,7 +14,7 @@ from slotwise.sources.archive import is_safe_member, overlap, read_package
 from slotwise.sources.discovery import discovered
 from tests import packages
 
-S = 1_767_398_400_000_000  # 2026-01-03T00:00:00
+S = 1_809_820_800_000_000  # 2027-05-09T00:00:00
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +39,8 @@ def test_safe_members(name, safe):
 def test_discovery(parsed):
     rows = [(r.family, r.scope, r.cpu, r.name, r.rot_sequence) for r in parsed.files.orderBy("file_ord").collect()]
     assert rows == [
-        ("diagnostic", "1", None, "diag.zip", 0), ("diagnostic", "1", None, "diaglog_1_20260103070000.log.zip", 0), ("diagnostic", "2", None, "diaglog_2_20260103070000.log.zip", 0),
-        ("diagnostic", "loose", None, "diaglog_8_20260103070000.log.zip", 0),  # the other stray file has the content of a known one
+        ("diagnostic", "1", None, "diag.zip", 0), ("diagnostic", "1", None, "diaglog_1_20270509070000.log.zip", 0), ("diagnostic", "2", None, "diaglog_2_20270509070000.log.zip", 0),
+        ("diagnostic", "loose", None, "diaglog_8_20270509070000.log.zip", 0),  # the other stray file has the content of a known one
         ("journal", "1", None, "journal.log", 0), ("journal", "1", None, "journal.log.1.gz", 1), ("journal", "1", "0", "journal.log", 0), ("journal", "2", None, "journal.log", 0),
     ]
     assert parsed.files.filter("name like 'diaglog_1%'").first().dump_time.hour == 7
@@ -49,16 +49,16 @@ def test_discovery(parsed):
 def test_entries_and_cycles(parsed):
     r = parsed.mechanisms["module1"]
     assert r.status == "success" and sorted((x.source, x["count"]) for x in r.entries.groupBy("source").count().collect()) == [("diagnostic", 4), ("journal", 4)]
-    assert sorted((x.slot, x.dir_name) for x in r.cycles.filter("scope = 'board'").collect()) == [("1", "20260103000100-20260103000200"), ("2", "20260103063000-20260103063100")]
+    assert sorted((x.slot, x.dir_name) for x in r.cycles.filter("scope = 'board'").collect()) == [("1", "20270509000100-20270509000200"), ("2", "20270509063000-20270509063100")]
     got = sorted((x.process_name, x.pid, x.total_count, tuple(x.missing_sequences)) for x in r.processes.collect())
-    assert got == [("SERVICE", "12345", 5, (3, 4, 5, 6, 7, 8)), ("SERVICE", "54321", 3, (3,))]
+    assert got == [("valved", "4711", 5, (3, 4, 5, 6, 7, 8)), ("valved", "8150", 3, (3,))]
 
 
 def test_second_family(parsed):
     r = parsed.mechanisms["module2"]
     got = sorted((x.status, x.reason, x.ts_us - S) for x in r.decisions.collect())
     assert got == [("assigned", "matched_by_time", 100_000_000), ("unknown", "no_board_cycle_contains_timestamp", 2_400_000_000)]
-    assert [x.dir_name for x in r.cycles.collect()] == ["20260103T000100-20260103T004000"]  # the row behind widens the cycle
+    assert [x.dir_name for x in r.cycles.collect()] == ["20270509T000100-20270509T004000"]  # the row behind widens the cycle
 
 
 def test_coverage_and_roles(parsed):
@@ -68,22 +68,22 @@ def test_coverage_and_roles(parsed):
 
 
 def test_evidence_files(task):
-    path = f"{task}/mech_modules/EXAMPLE/slot_1/20260103000100-20260103000200/SERVICE-12345.log"
+    path = f"{task}/mech_modules/EXAMPLE/slot_1/20270509000100-20270509000200/valved-4711.log"
     lines = open(path, encoding="utf-8").read().splitlines()
-    assert len(lines) == 5 and lines[0].startswith("[0001] [journal|slot_1/journal.log] 2026-01-03T00:01:00")
-    assert lines[1].startswith("[0001] [diagnostic|slot_1/diaglog_1_20260103070000.log.zip] 2026-01-03 00:01:00.100000 Service=SERVICE")
+    assert len(lines) == 5 and lines[0].startswith("[0001] [journal|slot_1/journal.log] 2027-05-09T00:01:00")
+    assert lines[1].startswith("[0001] [diagnostic|slot_1/diaglog_1_20270509070000.log.zip] 2027-05-09 00:01:00.100000 Service=VALVES")
 
 
 def test_documents(task):
     result = json.load(open(f"{task}/result.json"))
     slot = result["mech_results"][0]["slots"][0]
-    assert slot["slot_id"] == "1" and slot["board_cycles"][0]["processes"][0]["pid"] == "12345"
+    assert slot["slot_id"] == "1" and slot["board_cycles"][0]["processes"][0]["pid"] == "4711"
     assert json.load(open(f"{task}/metadata.json"))["coverage"]["timestamps"] == 13
 
 
 def test_checks_find_what_is_wrong(spark, task):
     assert [r.code for r in checks.artifact_check(spark, task).collect()] == ["LP_DFX_OK"]
-    path = f"{task}/mech_modules/EXAMPLE/slot_1/20260103000100-20260103000200/SERVICE-12345.log"
+    path = f"{task}/mech_modules/EXAMPLE/slot_1/20270509000100-20270509000200/valved-4711.log"
     content = open(path).read()
     try:
         open(path, "a").write("more\n")
@@ -114,12 +114,12 @@ def anchors(spark, rows):
 def test_target_logs(spark, parsed, task):
     index = evidence.process_index(parsed.mechanisms["module1"]).withColumn("module_key", F.lit("module1")).withColumn("module_name", F.lit("EXAMPLE"))
     rows = [
-        (0, S + 90_000_000, "example", "slot_1", "service", "12345"), (1, S + 900_000_000, "module1", "1", "SERVICE", None), (2, S, "module1", "1", "SERVICE", "9"),
-        (3, S, "nothing", "1", "SERVICE", None), (4, S, "EXAMPLE", "7", "SERVICE", None), (5, None, "EXAMPLE", "1", "SERVICE", None),
+        (0, S + 90_000_000, "example", "slot_1", "VALVED", "4711"), (1, S + 900_000_000, "module1", "1", "valved", None), (2, S, "module1", "1", "valved", "9"),
+        (3, S, "nothing", "1", "valved", None), (4, S, "EXAMPLE", "7", "valved", None), (5, None, "EXAMPLE", "1", "valved", None),
     ]
     logs = evidence.file_hashes(spark, task).select("path")
     got = {r.anchor_id: r for r in target.resolve(anchors(spark, rows), index, logs).collect()}
-    path = "mech_modules/EXAMPLE/slot_1/20260103000100-20260103000200/SERVICE-12345.log"
+    path = "mech_modules/EXAMPLE/slot_1/20270509000100-20270509000200/valved-4711.log"
     assert (got[0].match_status, got[0].log_path) == ("exact", path) and (got[1].match_status, got[1].caveats) == ("nearest", ["nearest-cycle fallback"])
     assert [got[i].error_code for i in (2, 3, 4, 5)] == ["LP_TARGET_MISSING", "LP_MODULE_MISSING", "LP_SLOT_MISSING", "LP_TARGET_TIME_INVALID"]
     answer = target.payload(got[0], {"label": "x"}, explain=True)
@@ -188,7 +188,7 @@ def test_stored_packages_and_tables(spark, parsed, tmp_path):
     rows = read_stored(spark, str(tmp_path / "in")).collect()
     assert ("plain.log", 1, "b", None) in {tuple(r) for r in rows} and [r.path for r in rows if r.error] == ["bad.zip"]
     inside = {(r.path, r.line) for r in rows if r.path.startswith("p.zip_extracted/")}
-    assert inside == {("p.zip_extracted/" + r.path, r.line) for r in parsed.lines.select("path", "line").collect()} | {i for i in inside if "other_folder" in i[0] or "diaglog_9" in i[0]}
+    assert inside == {("p.zip_extracted/" + r.path, r.line) for r in parsed.lines.select("path", "line").collect()} | {i for i in inside if "notes" in i[0] or "diaglog_9" in i[0]}
     assert sorted(r.line for r in read_text(spark, str(tmp_path / "in/plain.log")).collect()) == ["a", "b"]
     rows = evidence.evidence(parsed.mechanisms["module1"], "EXAMPLE")
     evidence.write_evidence_table(rows, str(tmp_path / "out"))
@@ -210,8 +210,8 @@ def test_questions_about_a_task(spark, task):
     assert [s["slot"] for s in t.slots()] == ["1", "2", "loose"] and t.slot("slot_2")["slot"] == "2" and t.slot("9") is None
     assert [m["module_name"] for m in t.modules()] == ["EXAMPLE", "MODULE2"] and t.module_slots("EXAMPLE") == ["1", "2"]
     assert {c["module_key"] for c in t.lifecycles("1")} == {"module1", "module2"}
-    assert t.log_path("EXAMPLE", "1", "20260103000100-20260103000200", "SERVICE", "12345").exists()
-    anchor = {"module": "EXAMPLE", "slot": "1", "process_name": "SERVICE", "pid": "12345", "problem_time": "2026-01-03T00:01:30"}
+    assert t.log_path("EXAMPLE", "1", "20270509000100-20270509000200", "valved", "4711").exists()
+    anchor = {"module": "EXAMPLE", "slot": "1", "process_name": "valved", "pid": "4711", "problem_time": "2027-05-09T00:01:30"}
     answer = t.target_logs([anchor, anchor | {"slot": "5"}], explain=True)
     assert answer[0]["target_logs"][0]["match_status"] == "exact" and answer[1]["selection_diagnostics"]["error_code"] == "LP_SLOT_MISSING"
     assert all(r["ok"] for r in doctor(task) if r["check"] != "yaml")
@@ -260,6 +260,6 @@ def test_command_line(spark, task, tmp_path, capsys):
     from slotwise import cli
 
     assert cli.run(["doctor"]) in (0, 1)
-    assert cli.run(["target-logs", task, "--module", "EXAMPLE", "--slot", "1", "--process", "SERVICE", "--problem-time", "2026-01-03T00:01:30"]) == 0
+    assert cli.run(["target-logs", task, "--module", "EXAMPLE", "--slot", "1", "--process", "valved", "--problem-time", "2027-05-09T00:01:30"]) == 0
     assert '"match_status": "exact"' in capsys.readouterr().out
     assert cli.run(["modules", task]) == 0 and cli.run(["artifact-check", task]) == 0

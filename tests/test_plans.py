@@ -77,7 +77,7 @@ CANDIDATE = {"file_patterns": ["a.log"], "timestamp_regex": r"(\d{4}-\d{2}-\d{2}
 
 
 def test_onboarding(spark):
-    rows = [(0, "a.log", n, f"2026-01-03T00:00:0{n} MOD Slot=1 cpu=0 proc=p-{n} ctx=c No[{n}]") for n in range(4)] + [(0, "a.log", 4, " "), (1, "b_01.log", 0, "Jan  3 00:00:00 msg: x"), (2, "b_02.log", 0, "Jan  3 00:00:00 msg: x")]
+    rows = [(0, "a.log", n, f"2027-05-09T00:00:0{n} MOD Slot=1 cpu=0 proc=p-{n} ctx=c No[{n}]") for n in range(4)] + [(0, "a.log", 4, " "), (1, "b_01.log", 0, "Jan  3 00:00:00 msg: x"), (2, "b_02.log", 0, "Jan  3 00:00:00 msg: x")]
     lines = spark.createDataFrame(rows, "file_ord int, name string, line_no long, line string")
     out = onboarding.validate(lines, CANDIDATE)
     assert out["status"] == "ready" and out["counters"]["record_matches"] == 4 and out["counters"]["ordinal_integers"] == 4
@@ -109,13 +109,13 @@ def test_safe_pattern_and_sandbox():
 def test_explain_line(spark):
     from tests.packages import FIRST
 
-    r = onboarding.explain_line(spark, "2026-01-03T00:01:00 [JOURNAL] SERVICE: No[7] EXAMPLE x", FIRST).first()
-    assert (r.has_module_name, r.diag_pattern_fits, r.sequence, r.journal_pattern, r.timestamp) == (True, False, 7, "journal.line_pattern2", "2026-01-03T00:01:00")
+    r = onboarding.explain_line(spark, "2027-05-09T00:01:00 [host7] valved: No[7] EXAMPLE x", FIRST).first()
+    assert (r.has_module_name, r.diag_pattern_fits, r.sequence, r.journal_pattern, r.timestamp) == (True, False, 7, "journal.line_pattern2", "2027-05-09T00:01:00")
 
 
 def test_windows(spark):
-    lines = spark.createDataFrame([("p", n, f"2026-01-03T00:{n // 60:02d}:{n % 60:02d} é" if n % 2 else "plain") for n in range(200)] + [("q", n, "no time") for n in range(100)], "path string, line_no long, line string")
-    at = 1_767_398_400_000_000
+    lines = spark.createDataFrame([("p", n, f"2027-05-09T00:{n // 60:02d}:{n % 60:02d} é" if n % 2 else "plain") for n in range(200)] + [("q", n, "no time") for n in range(100)], "path string, line_no long, line string")
+    at = 1_809_820_800_000_000
     w = checks.deep_windows(lines, [("p", at + 100_000_000), ("q", at)])
     rows = w.orderBy("path", "line_no").collect()
     p = [r.line_no for r in rows if r.path == "p"]
