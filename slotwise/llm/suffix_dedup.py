@@ -5,13 +5,13 @@ is owned by an anchor, the place among its first ``REACH`` whose 16 bytes hash l
 their anchors at equal offsets.  A run of windows with one anchor, and the bytes they cover, is a context.
 
 1. Per anchor, the bytes that all its windows share are hashed to a fingerprint.  Contexts whose
-   fingerprint comes once hold no passage.  A context that comes as a whole more than once is all
-   passages.  What is left are different contexts of one fingerprint.
-2. These come with their bytes, by fingerprint, to tasks that keep a family of index levels.  A new batch
-   of contexts gets suffix arrays at its anchors, one of the strings from the anchors on, one of those
-   before them read backwards.  It is merge-scanned against each level: lengths of common prefixes of
-   neighbours tell for every window which other ones are equal, byte by byte.  Then the batch becomes
-   a level, and levels of about equal size are merged, so there are few of them.
+   fingerprint comes once hold no passage.
+2. The others come with their bytes, by fingerprint, to tasks that keep a family of index levels; equal contexts
+   come once with a mark, and are entered twice.  A new batch of contexts gets suffix arrays at its anchors, one of
+   the strings from the anchors on, one of those before them read backwards.  It is merge-scanned against each
+   level: lengths of common prefixes of neighbours tell for every window which other ones are equal, byte by byte.
+   Then the batch becomes a level, and levels of about equal size are merged, so there are few of them.
+   The number of tasks grows with the contexts, so a task's index is of bounded size.
    Where very many contexts have one fingerprint, as in a large group of near copies, each is cut into
    parts of BAND window starts, counted from the anchor.  A part's windows share more bytes, whose hash
    deals the parts out, so equal windows still meet and the group spreads over many tasks.
@@ -33,6 +33,8 @@ from slotwise.llm.common import bucket_count, file_table, packed, stored, table,
 LENGTH, REACH, GRAM = 400, 256, 16
 #: Contexts in a batch of the index; contexts of one fingerprint from which they are split, and window starts in a part.
 BATCH, HOT, BAND = 4096, 512, 32
+#: Contexts in a task's index, about.
+TASK_CONTEXTS = 1 << 15
 #: Odd multipliers of the hashes, and the seed of their byte table.
 _A, _B, _C, _SEED = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 7))
 _table = np.random.default_rng(int(_SEED)).integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,13 +219,14 @@ def candidates(rows: DataFrame, length: int, reach: int) -> DataFrame:
     return merged.join(of, "fp")
 
 
-def found_windows(different: DataFrame, packs: DataFrame, buckets: int, length: int, reach: int) -> DataFrame:
-    """(c1, c2, lo, hi): runs of windows, from the context's first, that equal a window of another context."""
-    wanted = different.select(F.pmod(F.xxhash64("f", "i"), F.lit(buckets)).cast("int").alias("b"), "fp", "c1", "c2", "f", "i", "p", "k")
+def found_windows(known: DataFrame, packs: DataFrame, buckets: int, length: int, reach: int) -> DataFrame:
+    """(c1, c2, lo, hi): runs of windows, from the context's first, that equal a window of this or another context."""
+    wanted = known.select(F.pmod(F.xxhash64("f", "i"), F.lit(buckets)).cast("int").alias("b"), "fp", "c1", "c2", "f", "i", "p", "k", (F.col("n") > 1).cast("long").alias("again"))
     split = HOT
+    entered = known.agg(F.sum(F.when(F.col("n") > 1, 2).otherwise(1))).first()[0] or 0
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {n: right.column(n).to_pylist() for n in ("fp", "c1", "c2", "f", "i", "p", "k")}
+        columns = {n: right.column(n).to_pylist() for n in ("fp", "c1", "c2", "f", "i", "p", "k", "again")}
         of: dict[tuple, list[int]] = {}
         for r, key in enumerate(zip(columns["f"], columns["i"])):
             of.setdefault(key, []).append(r)
@@ -242,17 +245,18 @@ def found_windows(different: DataFrame, packs: DataFrame, buckets: int, length:
                     places.append((ahead - hi) << 20 | hi << 10 | (hi - lo))
                     data.append(text[x - hi : x - lo + length])
         take = lambda n: pa.array([columns[n][r] for r in at], pa.int64())
-        return pa.table({"fp": pa.array(keys, pa.int64()), "c1": take("c1"), "c2": take("c2"), "p": pa.array(places, pa.int64()), "data": pa.array(data, pa.binary())})
+        return pa.table({"fp": pa.array(keys, pa.int64()), "c1": take("c1"), "c2": take("c2"), "p": pa.array(places, pa.int64()), "again": take("again"), "data": pa.array(data, pa.binary())})
 
-    cuts = packs.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(cut, "fp long, c1 long, c2 long, p long, data binary")
+    cuts = packs.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(cut, "fp long, c1 long, c2 long, p long, again long, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names, held = LevelledIndex(length, reach), [], []
         for batch in batches:
-            for c1, c2, p, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                names.append((c1, c2, p >> 20))
-                held.append((data.as_py(), p >> 10 & 1023, (p & 1023) + 1))
-                if len(held) == BATCH:
+            for c1, c2, p, again, data in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), batch.column(5)):
+                for copy in range(1 + again):
+                    names.append((c1, c2, p >> 20, copy))
+                    held.append((data.as_py(), p >> 10 & 1023, (p & 1023) + 1))
+                if len(held) >= BATCH:
                     index.add(held)
                     held = []
         if held:
@@ -261,10 +265,12 @@ def found_windows(different: DataFrame, packs: DataFrame, buckets: int, length:
             edge = np.diff(index.found.astype(np.int8), axis=1, prepend=0, append=0)
             row, lo = np.nonzero(edge == 1)
             _, hi = np.nonzero(edge == -1)
-            key = np.array(names, np.int64)[row].reshape(-1, 3)
+            key = np.array(names, np.int64)[row].reshape(-1, 4)
+            first = key[:, 3] == 0  # the copy has the same windows
+            key, lo, hi = key[first], lo[first], hi[first]
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(key[:, 2] + lo), pa.array(key[:, 2] + hi - 1)], ["c1", "c2", "lo", "hi"])
 
-    return cuts.repartition("fp").mapInArrow(run, "c1 long, c2 long, lo long, hi long")
+    return cuts.repartition(max(1, -(-entered // TASK_CONTEXTS)), "fp").mapInArrow(run, "c1 long, c2 long, lo long, hi long")
 
 
 def spans_of(text: bytes, intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -295,9 +301,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     packs = packed(rows.select(F.col("_rk.f").alias("f"), F.col("_rk.i").alias("i"), "_id", "_text"), F.pmod(F.xxhash64("f", "i"), F.lit(buckets)))
 
     known = stored(candidates(rows, length, reach))
-    whole = known.filter("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("lo"), F.col("p").bitwiseAND(1023).alias("hi"))
-    part = found_windows(known.filter("k > 1"), packs, buckets, length, reach)
-    verdicts = whole.unionByName(part)
+    verdicts = found_windows(known, packs, buckets, length, reach)
     at = F.shiftright("p", 20)
     hits = _occurrences(rows, length, reach, False).join(verdicts, ["c1", "c2"])
     hits = hits.select(F.pmod(F.xxhash64("f", "i"), F.lit(buckets)).cast("int").alias("b"), "f", "i", (at + F.col("lo")).alias("lo"), (at + F.col("hi") + length).alias("hi"))
