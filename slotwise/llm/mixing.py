@@ -115,7 +115,8 @@ def mix_layout(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WOR
     low = F.greatest(F.col("block") * block_words, F.col("_at"))
     high = F.least((F.col("block") + 1) * block_words, F.col("_at") + F.col("size"))
     spans = spans.select("none", "src", "block", "_rk", (low - F.col("_at")).alias("lo"), (high - F.col("_at")).alias("hi"), (low - F.col("block") * block_words).alias("at"))
-    joined = spans.join(slots, ["none", "src", "block"])
+    # The slots grow with the words, so they are never broadcast, however small a run makes them look.
+    joined = spans.join(slots.hint("merge"), ["none", "src", "block"])
     upto = F.when(F.col("cut").isNull(), F.col("hi")).otherwise(F.least(F.col("hi"), F.col("lo") + F.greatest(F.col("cut") - F.col("at"), F.lit(0))))
     return joined.withColumn("upto", upto).filter("upto > lo").select("shard", "slot", "at", "_rk", "lo", "hi", "upto")
 
