@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by an inverted multi-index over two vector halves.
 
-Each half has its own codebook of ``K`` centroids, so K * K cells, one per centroid pair, hold the vectors.
+Each half has its own codebook of k centroids, so k * k cells, one per centroid pair, hold the vectors.
 A query's centroid pairs are visited in order of summed score, kept by a heap over the two sorted lists,
 until the visited cells hold enough entries; these are ranked again by exact inner products.  How many are
 enough is measured: some queries are answered by brute force over all rows, and the depth at which the
@@ -17,6 +17,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import table
+from slotwise.llm.common import file_table, table
 
-#: Centroids a half; rows that the codebooks are fitted on at most; brute-force queries; recall they must reach.
-K, SAMPLE_ROWS, TRIALS, RECALL = 64, 20_000, 128, 0.96
+#: Centroids a half for K_ROWS rows (see ``centroids``) and at most, as the sample bears no more.
+K, K_ROWS, MOST_K = 64, 10_000, 1024
+#: Rows that the codebooks are fitted on, about; brute-force queries; recall they must reach.
+SAMPLE_ROWS, TRIALS, RECALL = 20_000, 128, 0.96
 #: Entries in a bucket where there are many, and buckets at least.
 BUCKET_ROWS, LEAST_BUCKETS = 8192, 24
 ROUNDS = 12
 
 
+def centroids(rows: int) -> int:
+    """Centroids a half: cells grow with the square root of the rows, and so do the rows of a cell."""
+    return min(MOST_K, max(K, round(K * (rows / K_ROWS) ** 0.25)))
+
+
 def codebook(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means by a fixed seed; empty clusters start anew at a data point."""
     rng = np.random.default_rng(seed)
@@ -119,16 +127,15 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): one row an id, of the most frequent length (the longer of two); null, zero and non-finite vectors are out.
+    """(id, row, draw, v) of a file table's rows but those with null, zero and non-finite vectors or without an id.
 
-    Of several vectors of one id the least counts.  Rows without an id are out.
+    ``row`` names the row, so repeated ids and equal rows all stay; ``draw`` is a hash that picks samples.
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    key = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), key.alias("row"), F.xxhash64(F.col(id_col).cast("long"), "_metadata.row_index").alias("draw"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0)
-    rows = rows.filter(F.col("id").isNotNull() & v.isNotNull() & good).groupBy("id").agg(F.min("v").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else -1))
+    return rows.filter(F.col("id").isNotNull() & v.isNotNull() & good)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,10 +159,14 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(scores >= last - 1e-9 * max(1.0, abs(last)))
 
 
-def fit(rows: DataFrame, k: int, neighbours: int) -> tuple[Index, int]:
-    """The index without entries: codebooks from a sample, cell counts over all rows, depth from brute-force queries."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
-    x = np.array([r["v"] for r in sample])
+def fit(rows: DataFrame, n: int, k: int, neighbours: int) -> Index:
+    """The index without entries: codebooks from a sample, cell counts over all ``n`` rows, depth from brute-force queries.
+
+    The sample is drawn by a hash, each row with the same chance, so no task and not the driver holds more than it.
+    """
+    drawn = rows if n <= SAMPLE_ROWS else rows.filter(F.shiftrightunsigned("draw", 1) < int(SAMPLE_ROWS / n * (1 << 63)))
+    sample = sorted((r["draw"], r["id"], r["row"], r["v"]) for r in drawn.collect()) or [tuple(r) for r in rows.select("draw", "id", "row", "v").limit(1).collect()]
+    x = np.array([r[3] for r in sample])
     h = x.shape[1] // 2
     index = Index(codebook(x[:, :h], k, 1), codebook(x[:, h:], k, 2))
     spark = rows.sparkSession
@@ -171,25 +182,25 @@ def fit(rows: DataFrame, k: int, neighbours: int) -> tuple[Index, int]:
     counts = np.zeros(len(index.first) * len(index.second), np.int64)
     for r in rows.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
-    index.counts, n = counts.reshape(len(index.first), len(index.second)), int(counts.sum())
+    index.counts = counts.reshape(len(index.first), len(index.second))
 
-    trials = spark.sparkContext.broadcast((np.array([r["id"] for r in sample[:TRIALS]]), x[:TRIALS]))
+    trials = spark.sparkContext.broadcast((np.array([r[2] for r in sample[:TRIALS]]), x[:TRIALS]))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = trials.value
+        asked, q = trials.value
         for b in batches:
             own, v = b.column(0).to_numpy(), _matrix(b.column(1)) if b.num_rows else np.zeros((0, q.shape[1]))
             if not len(own):
                 continue
             cells, scores = index.cells(v), q @ v.T
-            scores[ids[:, None] == own[None, :]] = -np.inf
+            scores[asked[:, None] == own[None, :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, :neighbours]
-            t = np.repeat(np.arange(len(ids)), top.shape[1])
+            t = np.repeat(np.arange(len(asked)), top.shape[1])
             s = np.take_along_axis(scores, top, 1).ravel()
             keep = np.isfinite(s)
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep]), pa.array(cells[top.ravel()][keep])], ["t", "s", "cell"])
 
-    found = rows.select("id", "v").mapInArrow(brute, "t long, s double, cell long")
+    found = rows.select("row", "v").mapInArrow(brute, "t long, s double, cell long")
     found = found.withColumn("r", F.row_number().over(W.partitionBy("t").orderBy(F.desc("s")))).filter(F.col("r") <= neighbours)
     wanted: dict[int, list[int]] = {}
     for r in found.select("t", "cell").collect():
@@ -202,39 +213,49 @@ def fit(rows: DataFrame, k: int, neighbours: int) -> tuple[Index, int]:
             needed += [seen] * left.pop(i * len(index.second) + j, 0)
             if not left:
                 break
-    index.depth = int(np.quantile(needed, RECALL, method="higher")) if needed else n
+    index.depth = max(int(np.quantile(needed, RECALL, method="higher")) if needed else n, neighbours + 1)
     index.lay_out(n)
-    return index, n
+    return index
 
 
-def search(vectors: DataFrame, is_query, neighbours: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of every query row by largest inner product, ties to the smaller id.
+def search(vectors: DataFrame, is_query, neighbours: int, id_col: str = "vec_id", vector_col: str = "embedding", k: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score, query_row): the nearest found of every query row by largest inner product, ties to the smaller id.
 
-    ``is_query`` is a condition on ``id``.  See ``usable`` for rows that take no part; tables without
-    usable rows give none.  Fewer candidates than ``neighbours`` are all returned, as then the depth is all.
+    ``is_query`` is a condition on ``id``; ``k`` centroids a half, else as ``centroids`` says.  Every row but
+    the query's own is a candidate, rows of the same id and equal rows as well; several query rows of one id
+    are told apart by ``query_row``, a number of the row in its file table.  Vectors of different lengths
+    have no inner product, so each length is searched by itself, with an index of its own.  See ``usable``
+    for rows that take no part; tables without usable rows give none.  Fewer candidates than ``neighbours``
+    are all returned.
     """
-    rows = usable(vectors, id_col, vector_col)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not rows.limit(1).count():
-        return vectors.sparkSession.createDataFrame([], schema)
-    index, n = fit(rows, k, neighbours)
-    if n <= 4 * neighbours:
-        index.depth = n
-    sent = vectors.sparkSession.sparkContext.broadcast(index)
+    rows = usable(file_table(vectors), id_col, vector_col)
+    sizes = sorted((r["n"], r["count"]) for r in rows.groupBy(F.size("v").alias("n")).count().collect())
+    found = [_search(rows.filter(F.size("v") == size), n, is_query, neighbours, k or centroids(n)) for size, n in sizes]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
+    return reduce(DataFrame.unionAll, found)
+
+
+def _search(rows: DataFrame, n: int, is_query, neighbours: int, k: int) -> DataFrame:
+    """``search`` over the ``n`` usable rows of one length."""
+    index = fit(rows, n, k, neighbours)
+    sent = rows.sparkSession.sparkContext.broadcast(index)
+
+    names = ["bucket", "kind", "id", "row", "v", "cell", "least"]
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = sent.value
         for b in batches:
             if b.num_rows:
-                ids, v = b.column(0).to_numpy(), _matrix(b.column(1))
+                own, v = b.column(1).to_numpy(), _matrix(b.column(2))
                 cell = ix.cells(v)
-                yield pa.RecordBatch.from_arrays([pa.array(ix.bucket[cell] + ids % ix.parts[cell]), pa.array(np.zeros(len(ids), np.int32)), b.column(0), b.column(1), pa.array(cell), pa.array(np.zeros(len(ids)))], ["bucket", "kind", "id", "v", "cell", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(ix.bucket[cell] + own % ix.parts[cell]), pa.array(np.zeros(len(own), np.int32)), *b.columns, pa.array(cell), pa.array(np.zeros(len(own)))], names)
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = sent.value
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                v, at, least, to = _matrix(part.column(1)), [], [], []
+                v, at, least, to = _matrix(part.column(2)), [], [], []
                 for i, q in enumerate(v):
                     last, cells = ix.visit(q)
                     cells = np.array(cells, np.int64)
@@ -245,7 +266,7 @@ def search(vectors: DataFrame, is_query, neighbours: int, id_col: str = "vec_id"
                     least.append(np.full(len(one), last))
                 to, at, least = np.concatenate(to), np.concatenate(at), np.concatenate(least)
                 m = len(to)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(m, np.int32)), part.column(0).take(pa.array(at)), _lists(v[at]), pa.array(np.zeros(m, np.int64)), pa.array(least)], ["bucket", "kind", "id", "v", "cell", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(m, np.int32)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), _lists(v[at]), pa.array(np.zeros(m, np.int64)), pa.array(least)], names)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = sent.value
@@ -253,10 +274,11 @@ def search(vectors: DataFrame, is_query, neighbours: int, id_col: str = "vec_id"
 
         def close() -> tuple:
             """The bucket as distinct vectors by cell; of equal vectors the smallest ids suffice."""
-            ids, v, cell = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64))
-            order = np.argsort(ids, kind="stable")
+            none = np.zeros(0, np.int64)
+            ids, own, v, cell = (np.concatenate(c) for c in zip(*parts)) if parts else (none, none, np.zeros((0, 1)), none)
+            order = np.lexsort((own, ids))
             distinct: dict[bytes, int] = {}
-            members: list[list[int]] = []
+            members: list[list[tuple[int, int]]] = []
             rows = []
             for r in order.tolist():
                 key = v[r].tobytes()
@@ -265,14 +287,14 @@ def search(vectors: DataFrame, is_query, neighbours: int, id_col: str = "vec_id"
                     members.append([])
                     rows.append(r)
                 if len(members[at]) <= neighbours:
-                    members[at].append(int(ids[r]))
+                    members[at].append((int(ids[r]), int(own[r])))
             cell = cell[rows]
             by = np.argsort(cell, kind="stable")
             return v[rows][by], [members[i] for i in by], cell[by]
 
-        def answer(qid: np.ndarray, q: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        def answer(qid: np.ndarray, qrow: np.ndarray, q: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
             v, members, cell = held
-            out: tuple[list, list, list] = ([], [], [])
+            out: list[tuple[int, int, int, int, float]] = []
             if len(v):
                 cells, inverse = np.unique(cell, return_inverse=True)
                 i, j = cells // len(ix.second), cells % len(ix.second)
@@ -281,31 +303,32 @@ def search(vectors: DataFrame, is_query, neighbours: int, id_col: str = "vec_id"
                     a, b = ix.halves(q[r])
                     inside = np.flatnonzero((a[i] + b[j] >= least[r])[inverse])
                     near = inside[_best(scores[r, inside], neighbours + 1)]
-                    found = sorted((-exact(q[r], v[c]), m) for c in near for m in members[c] if m != qid[r])[:neighbours]
-                    out[0].extend([int(qid[r])] * len(found))
-                    out[1].extend(m for _, m in found)
-                    out[2].extend(-s for s, _ in found)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    found = sorted((-exact(q[r], v[c]), *m) for c in near for m in members[c] if m[1] != qrow[r])[:neighbours]
+                    out += [(int(qid[r]), int(qrow[r]), m, row, -s) for s, m, row in found]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "query_row", "vec_id", "row", "score"])
 
         for b in batches:
             bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            ids, v, cell, least = b.column(2).to_numpy(), _matrix(b.column(3)) if b.num_rows else None, b.column(4).to_numpy(), b.column(5).to_numpy()
+            ids, own, v, cell, least = b.column(2).to_numpy(), b.column(3).to_numpy(), _matrix(b.column(4)) if b.num_rows else None, b.column(5).to_numpy(), b.column(6).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]), [True]])) if b.num_rows else []
             for lo, hi in zip(edges, edges[1:]):
                 if bucket[lo] != now:
                     now, parts, held = bucket[lo], [], None
                 if kind[lo] == 0:
-                    parts.append((ids[lo:hi], v[lo:hi], cell[lo:hi]))
+                    parts.append((ids[lo:hi], own[lo:hi], v[lo:hi], cell[lo:hi]))
                 else:
                     held = held or close()
-                    for k0 in range(lo, hi, 1024):
-                        yield answer(ids[k0 : min(hi, k0 + 1024)], v[k0 : min(hi, k0 + 1024)], least[k0 : min(hi, k0 + 1024)])
+                    for part in (slice(i, min(hi, i + 1024)) for i in range(lo, hi, 1024)):
+                        yield answer(ids[part], own[part], v[part], least[part])
 
-    shape = "bucket long, kind int, id long, v array<double>, cell long, least double"
+    shape = "bucket long, kind int, id long, row long, v array<double>, cell long, least double"
+    rows = rows.select("id", "row", "v")
     both = rows.mapInArrow(entries, shape).unionByName(rows.filter(is_query).mapInArrow(queries, shape))
-    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(rank, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(rank, "query_id long, query_row long, vec_id long, row long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "row")))
+    return ranked.filter(F.col("rank") <= neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_row")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,11 +57,36 @@ def test_scores_and_ties(spark):
 
 def test_unusable_vectors_and_few(spark, empty):
     rows = [(0, [1, 0]), (1, [0.5, 0]), (2, None), (3, [0, 0]), (4, [1, None]), (5, [float("nan"), 1]), (6, [float("inf"), 1]), (7, []), (8, [1, 2, 3]), (None, [1, 1]), (1, [0.5, 0]), (20, [0, 1])]
-    assert found(ann.search(table(spark, rows), F.col("id") % 20 == 0, 20)) == {0: [1, 20], 20: [0, 1]}
+    assert found(ann.search(table(spark, rows), F.col("id") % 20 == 0, 20)) == {0: [1, 1, 20], 20: [0, 1, 1]}
     assert ann.op4_ann(spark, empty).count() == 0
     assert ann.search(table(spark, [(0, [1, 1])]), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def test_every_row_but_the_own_is_a_candidate(spark):
+    """Repeated ids and equal rows ask and are found row by row; other lengths are searched by themselves."""
+    rows = [(0, [1, 0]), (0, [0, 1]), (0, [0, 1]), (5, [2, 1]), (20, [1, 1, 1]), (6, [3, 0, 0]), (7, [4])]
+    got = {}
+    for r in ann.search(table(spark, rows), F.col("id") % 20 == 0, 20).collect():
+        got.setdefault((r.query_id, r.query_row), []).append((r["rank"], r.vec_id, r.score))
+    want = [[(1, 0, 1.0), (2, 5, 1.0), (3, 0, 0.0)]] * 2 + [[(1, 5, 2.0), (2, 0, 0.0), (3, 0, 0.0)]] + [[(1, 6, 3.0)]]
+    assert sorted(sorted(v) for v in got.values()) == sorted(want)
+
+
+def test_hot_id_and_hot_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i if i % 3 else 40, np.float32(rng.normal(size=6))) for i in range(1000, 1900)] + [(40, np.ones(6))] * 300
+    r = ann.search(table(spark, rows), F.col("id") == 40, 5, k=4).groupBy("query_row").count().collect()
+    assert len(r) == 600 and {x["count"] for x in r} == {5}
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 200)
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(np.float32(rng.normal(size=(3000, 8))))]
+    want, got = brute(rows, 10, lambda i: i % 20 == 0), found(ann.search(table(spark, rows), F.col("id") % 20 == 0, 10, k=16))
+    assert np.mean([len(set(want[q]) & set(got[q])) / 10 for q in want]) >= 0.9
+
+
 def test_traversal_is_in_order_and_whole():
     rng = np.random.default_rng(3)
     index = ann.Index(rng.normal(size=(7, 3)), rng.normal(size=(5, 2)))
