@@ -4,6 +4,12 @@ Tokens are the UTF-8 bytes of a text and an end mark, so both models share one v
 is unknown.  Every n-gram of every document is counted; the lower orders are sums of the highest one,
 because texts are padded in front.  Probabilities are Witten-Bell estimates, order by order, in joins.
 
+Both models are held out: documents are in FOLDS folds, and those of one are scored by the counts of the
+others, so no document is scored by a model that has counted it.  They are matched in size: the background
+is the larger corpus, so it enters with the counts to be expected of a random part of it that has as many
+tokens as the target (a count c by the share r: c * r; a gram among the kinds: 1 - (1 - r) ** c).  All
+documents take part in that; none is drawn.
+
 Documents are dealt to buckets of bounded size, packed and compressed for the shuffle.  A bucket's distinct
 n-grams are counted once for all its documents; later the bucket gets the losses of just these n-grams
 back, so neither a table of all n-grams nor a row per document and n-gram is ever sent to a task.
@@ -21,6 +27,7 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import bucket_count, checkpointed, packed, stored, table, unpacked
 
 ORDER, BITS, END, VOCABULARY = 5, 9, 257, 257
+FOLDS = 4
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -58,37 +65,44 @@ class _Counts:
             self.new, self.held = [], 0
 
 
-def losses(counts: DataFrame) -> DataFrame:
-    """(g, lt, lb): negative log probabilities of a gram's last token in the target and background models.
+def losses(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """(g, lt, lb): by fold, negative log probabilities of a gram's last token in the target and background models.
 
-    Witten-Bell: a context's distinct successors are the weight of the next lower order; under a context
-    that a model has never seen, the lower order holds alone; below the first order all tokens are equal.
+    ``counts`` has the arrays t and n by fold, which hold what is *not* in that fold; ``shares`` are the parts
+    of the background that are as large as the target.  Witten-Bell: a context's distinct successors are the
+    weight of the next lower order; under a context that a model has never seen, the lower order holds
+    alone; below the first order all tokens are equal.
     """
+    folds = range(FOLDS)
+    counts = counts.select("g", *[F.col(m)[f].alias(f"{m}{f}") for m in "tn" for f in folds])
+    models = [(f"t{f}", 1.0) for f in folds] + [(f"n{f}", shares[f]) for f in folds]
     lower = None
     for n in range(1, ORDER + 1):
-        c = counts.groupBy(F.col("g").bitwiseAND((1 << BITS * n) - 1).alias("g")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")) if n < ORDER else counts
+        c = counts.groupBy(F.col("g").bitwiseAND((1 << BITS * n) - 1).alias("g")).agg(*[F.sum(m).alias(m) for m, _ in models]) if n < ORDER else counts
         c = c.withColumn("h", F.shiftright("g", BITS)).withColumn("s", F.col("g").bitwiseAND((1 << BITS * (n - 1)) - 1))
-        of = c.groupBy("h").agg(F.sum("t").alias("ct"), F.count(F.when(F.col("t") > 0, 1)).alias("kt"), F.sum("n").alias("cn"), F.count(F.when(F.col("n") > 0, 1)).alias("kn"))
-        c = c.join(of, "h")
-        c = c.join(lower, "s") if lower is not None else c.withColumn("pt", F.lit(1 / VOCABULARY)).withColumn("pb", F.lit(1 / VOCABULARY))
+        kinds = [(F.count(F.when(F.col(m) > 0, 1)).cast("double") if r == 1 else F.sum(1 - F.pow(F.lit(1 - r), F.col(m)))).alias(f"k_{m}") for m, r in models]
+        c = c.join(c.groupBy("h").agg(*[F.sum(m).alias(f"c_{m}") for m, _ in models], *kinds), "h")
+        c = c.join(lower, "s") if lower is not None else c.withColumns({f"p_{m}": F.lit(1 / VOCABULARY) for m, _ in models})
 
-        def mixed(count: str, total: str, kinds: str, below: str):
-            return F.when(F.col(total) > 0, (F.col(count) + F.col(kinds) * F.col(below)) / (F.col(total) + F.col(kinds))).otherwise(F.col(below))
+        def mixed(m: str, r: float):
+            kinds, below = F.col(f"k_{m}"), F.col(f"p_{m}")
+            return F.when((F.col(f"c_{m}") > 0) & F.lit(r > 0), (F.col(m) * r + kinds * below) / (F.col(f"c_{m}") * r + kinds)).otherwise(below)
 
-        lower = c.select(F.col("g").alias("s"), mixed("t", "ct", "kt", "pt").alias("pt"), mixed("n", "cn", "kn", "pb").alias("pb"))
-    return lower.select(F.col("s").alias("g"), (-F.log("pt")).alias("lt"), (-F.log("pb")).alias("lb"))
+        lower = c.select(F.col("g").alias("s"), *[mixed(m, r).alias(f"p_{m}") for m, r in models])
+    return lower.select(F.col("s").alias("g"), *[F.array(*[-F.log(f"p_{m}{f}") for f in folds]).alias(f"l{m}") for m in "tn"]).withColumnRenamed("ln", "lb")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every row of ``docs``; losses are per token, in nats.
 
     ``targets`` lists in ``id`` the documents the target model is learnt from; the background is all of
-    ``docs``.  ``score`` is the target's loss less the background's: the lower, the closer to the target.
+    ``docs``.  Both are without the fold of the scored document (by a hash of its id; rows without an id are
+    in fold 0) and of one size.  ``score`` is the target's loss less the background's: the lower, the closer to the target.
     A null text counts as empty, of which only the end mark is scored.  Rows of one id all count.  Without
-    targets the target model knows nothing but the vocabulary.  An empty table gives no rows.
+    targets both models know nothing but the vocabulary, as does a model without other folds.  An empty table gives no rows.
     """
-    buckets = bucket_count(docs, text_col)
-    packs = packed(docs.select(id_col, text_col), F.pmod(F.xxhash64(id_col), F.lit(buckets)))
+    buckets = -(-bucket_count(docs, text_col) // FOLDS) * FOLDS  # a bucket is of one fold: its number mod FOLDS
+    packs = packed(docs.select(id_col, text_col), F.when(F.col(id_col).isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col), F.lit(buckets))))
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = targets.select(F.col("id").cast(kind).alias("id")).filter("id is not null").distinct()
     wanted = wanted.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("b"), "id")
@@ -109,8 +123,12 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
         return pa.table({"b": pa.array(np.full(len(t), b, np.int32)), "g": pa.array(every.keys.view(np.int64)), "t": pa.array(t), "n": pa.array(every.n)})
 
     counted = stored(packs.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(count, "b int, g long, t long, n long"))
-    model = losses(checkpointed(counted.groupBy("g").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))))
-    needed = counted.select("b", "g").join(model, "g").select("b", "g", "lt", "lb")
+    fold = F.col("b") % FOLDS
+    sizes = {r["f"]: (r["t"], r["n"]) for r in counted.groupBy(fold.alias("f")).agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()}
+    others = [[sum(v[m] for g, v in sizes.items() if g != f) for m in (0, 1)] for f in range(FOLDS)]
+    outside = [F.array(*[F.sum(F.when(fold != f, F.col(m)).otherwise(0)) for f in range(FOLDS)]).alias(m) for m in "tn"]
+    model = losses(checkpointed(counted.groupBy("g").agg(*outside)), [t / n if n else 0.0 for t, n in others])
+    needed = counted.select("b", "g").join(model, "g").select("b", "g", F.col("lt")[fold].alias("lt"), F.col("lb")[fold].alias("lb"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         g = right.column("g").to_numpy().view(np.uint64)

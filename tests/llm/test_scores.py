@@ -8,41 +8,60 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slotwise.llm import common, lm_score, toxicity
 
 
-def plain_losses(docs, good):
-    counts = {(n, m): Counter() for n in range(1, 6) for m in "tb"}
-    pads = [(i, [0] * 4 + [c + 1 for c in (t or "").encode()] + [257]) for i, t in docs]
-    for i, y in pads:
-        for k in range(4, len(y)):
-            for n in range(1, 6):
-                for m in "tb" if i in good else "b":
-                    counts[n, m][tuple(y[k - n + 1 : k + 1])] += 1
-    total, kinds = {k: Counter() for k in counts}, {k: Counter() for k in counts}
-    for k, c in counts.items():
-        for g, n in c.items():
-            total[k][g[:-1]] += n
-            kinds[k][g[:-1]] += 1
+def plain_losses(docs, good, fold_of):
+    """Every document by two models of its own: the other folds' targets, and a part as large of the other folds."""
+    pads = [(i, fold_of[i], [0] * 4 + [c + 1 for c in (t or "").encode()] + [257]) for i, t in docs]
+    models = {}
+    for f in set(fold_of.values()):
+        counts = {(n, m): Counter() for n in range(1, 6) for m in "tb"}
+        size = Counter()
+        for i, own, y in pads:
+            if own == f:
+                continue
+            for m in "tb" if i in good else "b":
+                size[m] += len(y) - 4
+                for k in range(4, len(y)):
+                    for n in range(1, 6):
+                        counts[n, m][tuple(y[k - n + 1 : k + 1])] += 1
+        share = {"t": 1, "b": size["t"] / size["b"] if size["b"] else 0}
+        total, kinds = {k: Counter() for k in counts}, {k: Counter() for k in counts}
+        for k, c in counts.items():
+            for g, n in c.items():
+                total[k][g[:-1]] += n * share[k[1]]
+                kinds[k][g[:-1]] += 1 - (1 - share[k[1]]) ** n
+        models[f] = counts, total, kinds, share
 
     @lru_cache(None)
-    def p(g, m):
+    def p(f, g, m):
         if not g:
             return 1 / 257
-        k, low = (len(g), m), p(g[1:], m)
+        counts, total, kinds, share = models[f]
+        k, low = (len(g), m), p(f, g[1:], m)
         n = total[k][g[:-1]]
-        return (counts[k][g] + kinds[k][g[:-1]] * low) / (n + kinds[k][g[:-1]]) if n else low
+        return (counts[k][g] * share[m] + kinds[k][g[:-1]] * low) / (n + kinds[k][g[:-1]]) if n else low
 
-    return [(i, len(y) - 4, *[sum(-math.log(p(tuple(y[k - 4 : k + 1]), m)) for k in range(4, len(y))) / (len(y) - 4) for m in "tb"]) for i, y in pads]
+    return [(i, len(y) - 4, *[sum(-math.log(p(f, tuple(y[k - 4 : k + 1]), m)) for k in range(4, len(y))) / (len(y) - 4) for m in "tb"]) for i, f, y in pads]
+
+
+def folds(docs):
+    """The fold of every id, as hashed by Spark; rows without an id are in fold 0."""
+    buckets = -(-common.bucket_count(docs, "text") // lm_score.FOLDS) * lm_score.FOLDS
+    rows = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("b")).collect()
+    return {r.doc_id: 0 if r.doc_id is None else r.b % lm_score.FOLDS for r in rows}
 
 
 def test_lm_scores(spark, sf, empty):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in rows.collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()} - {None}
     got = sorted(((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.op6_lm_score(spark, sf).collect()))
-    want = sorted((str(i), *r) for i, *r in plain_losses(docs, good))
+    want = sorted((str(i), *r) for i, *r in plain_losses(docs, good, folds(rows)))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)
     assert lm_score.op6_lm_score(spark, empty).count() == 0
@@ -51,7 +70,19 @@ def test_lm_scores(spark, sf, empty):
 def test_lm_without_targets(spark, docs):
     none = spark.createDataFrame([], "id long")
     r = lm_score.cross_entropy_difference(docs([(1, "abc"), (2, None)]), none).collect()
-    assert all(x.target_loss == pytest.approx(math.log(257)) and x.score > 0 for x in r)
+    assert all(x.target_loss == x.background_loss == pytest.approx(math.log(257)) and x.score == 0 for x in r)
+
+
+def test_lm_scores_tell_the_target_apart(spark, docs):
+    """Held out and matched in size: unlabelled texts like the targets score below others, labelled or not."""
+    rng = random.Random(4)
+    kinds = [[rng.choice(c) + rng.choice("aeiou") + rng.choice(c) for _ in range(40)] for c in ("bdfg", "kmpt")]
+    rows = [(i, " ".join(rng.choices(kinds[i % 2], k=60))) for i in range(400)]
+    good = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "id long")
+    got = {r.id: r.score for r in lm_score.cross_entropy_difference(docs(rows), good).collect()}
+    near, far = [got[i] for i in range(0, 400, 2)], [got[i] for i in range(1, 400, 2)]
+    assert max(near) < min(far)
+    assert abs(np.mean([got[i] for i in range(0, 100, 2)]) - np.mean([got[i] for i in range(100, 400, 2)])) < 0.05
 
 
 def toxic_corpus(n, seed=1):
