@@ -14,7 +14,7 @@ from slotwise.plans.plugins import MechanismRunner, load
 from slotwise.sources.archive import read_package
 from slotwise.sources.config import KINDS, Mechanism, Product, execution_order
 from slotwise.sources.discovery import discovered, log_lines
-from slotwise.storage import cut
+from slotwise.storage import cut, stored
 
 
 @dataclass
@@ -76,9 +76,9 @@ def run_correlation(lines: DataFrame, m: Mechanism, base: MechanismResult, base_
 
 def parse(spark: SparkSession, package: str | DataFrame, product: Product) -> ParseResult:
     """Everything of a package; a mechanism that fails, or whose base failed, does not stop the others."""
-    raw = (read_package(spark, package) if isinstance(package, str) else package).persist()
+    raw = stored(read_package(spark, package) if isinstance(package, str) else package)
     files = cut(discovered(raw, product.discovery))
-    lines = log_lines(raw, files).persist()
+    lines = stored(log_lines(raw, files))
     stamps = cut(content_times(lines, product.timestamp_regex))
     periods = cut(lifecycle.active_periods(stamps, ["scope"], "ts_us", product.active_gap_seconds))
     out: dict[str, MechanismResult] = {}

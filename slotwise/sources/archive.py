@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MOST_BYTES, MOST_RATIO, MOST_DEPTH = 500 * 1024 * 1024, 100, 10
 SUFFIXES = (".tar.gz", ".tgz", ".tar", ".zip")
 SCHEMA = "path string, line_no long, line string, error string"
+#: Lines and characters of a batch at most, but for a single longer line.
+BATCH_LINES, BATCH_CHARS = 8192, 4 << 20
 
 
 def is_safe_member(name: str) -> bool:
@@ -48,25 +51,42 @@ class Member:
 def members(name: str, data, depth: int = 0) -> Iterator[Member]:
     """Plain files of an archive, nested archives opened in place under ``<name>_extracted``.
 
-    Unsafe names, links, special files and members over the limits are left out.  A nested archive that
-    can't be read yields one member with an error; the others go on.
+    Folders, links and special files are left out.  For each member with an unsafe name or over the limits,
+    and for an archive that lies too deep or can't be read, comes one member with an error under the
+    archive's name; the others go on.
     """
     if depth > MOST_DEPTH:
+        yield _refused(name, "nested too deep")
         return
     low = name.lower()
     if low.endswith(".zip"):
         with zipfile.ZipFile(data) as z:
             for info in z.infolist():
-                bomb = info.file_size > MOST_BYTES or (info.compress_size and info.file_size / info.compress_size > MOST_RATIO)
-                if not info.is_dir() and is_safe_member(info.filename) and not bomb:
-                    yield from _nested(info.filename, lambda i=info: z.open(i), depth)
+                if not info.is_dir():
+                    yield from _zip_member(name, z, info, depth)
     else:
         with tarfile.open(fileobj=data, mode="r:*") as t:
             for info in t:
-                if info.isfile() and is_safe_member(info.name) and info.size <= MOST_BYTES:
+                if not info.isfile():
+                    continue
+                if not is_safe_member(info.name) or info.size > MOST_BYTES:
+                    yield _refused(name, f"{info.name!r} of {info.size} bytes")
+                else:
                     yield from _nested(info.name, lambda i=info: t.extractfile(i), depth)
 
 
+def _refused(archive: str, why: str) -> Member:
+    return Member(os.path.basename(archive), io.BytesIO(), f"LP_ARCHIVE_MEMBER_REFUSED: {why}")
+
+
+def _zip_member(name: str, z: zipfile.ZipFile, info: zipfile.ZipInfo, depth: int) -> Iterator[Member]:
+    bomb = info.file_size > MOST_BYTES or (info.compress_size and info.file_size / info.compress_size > MOST_RATIO)
+    if bomb or not is_safe_member(info.filename):
+        yield _refused(name, f"{info.filename!r} of {info.file_size} bytes")
+    else:
+        yield from _nested(info.filename, lambda: z.open(info), depth)
+
+
 def _nested(path: str, open_it, depth: int) -> Iterator[Member]:
     if not is_archive(path):
         with open_it() as stream:
@@ -99,6 +119,29 @@ def lines_of(path: str, data) -> Iterator[tuple[int, str, str]]:
         text.detach()
 
 
+def line_batches(found: Iterator[Member]) -> Iterator[pa.RecordBatch]:
+    """The lines and errors of files, in Arrow batches of bounded size."""
+    types = [pa.string(), pa.int64(), pa.string(), pa.string()]
+    rows: list[tuple] = []
+    held = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["path", "line_no", "line", "error"])
+
+    for m in found:
+        path = m.path.replace(os.sep, "/")
+        if m.error:
+            rows.append((path, 0, "", m.error))
+        for n, line, error in lines_of(path, m.data):
+            rows.append((path, n, line, error or None))
+            held += len(path) + len(line)
+            if len(rows) >= BATCH_LINES or held >= BATCH_CHARS:
+                yield batch()
+                rows, held = [], 0
+    if rows:
+        yield batch()
+
+
 @dataclass(frozen=True)
 class _Part(InputPartition):
     file: str
@@ -118,10 +161,10 @@ class PackageReader(DataSourceReader):
             return [_Part(self.path, "")]
         if self.path.lower().endswith(".zip"):
             with zipfile.ZipFile(self.path) as z:
-                return [_Part(self.path, i.filename) for i in z.infolist() if not i.is_dir() and is_safe_member(i.filename)]
+                return [_Part(self.path, i.filename) for i in z.infolist() if not i.is_dir()]
         return [_Part(self.path, "*")]  # a tar has no directory: it is read from front to back
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         with open(part.file, "rb") as f:
             if part.member == "*":
                 found = members(part.file, f)
@@ -133,20 +176,12 @@ class PackageReader(DataSourceReader):
             else:
                 root = self.path if os.path.isdir(self.path) else os.path.dirname(self.path)
                 found = iter([Member(os.path.relpath(part.file, root), f)])
-            for m in found:
-                path = m.path.replace(os.sep, "/")
-                if m.error:
-                    yield path, 0, "", m.error
-                for n, line, error in lines_of(path, m.data):
-                    yield path, n, line, error or None
+            yield from line_batches(found)
 
 
 def _one_member(name: str, data, member: str) -> Iterator[Member]:
     with zipfile.ZipFile(data) as z:
-        info = z.getinfo(member)
-        if info.file_size > MOST_BYTES or (info.compress_size and info.file_size / info.compress_size > MOST_RATIO):
-            return
-        yield from _nested(member, lambda: z.open(info), 0)
+        yield from _zip_member(name, z, z.getinfo(member), 0)
 
 
 def folder_files(root: str) -> list[str]:
@@ -185,29 +220,24 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
     ``read_package`` opens paths itself and so needs a folder that driver and executors share; here Spark
     hands over the bytes.  Paths are file names, with members of archives under them.
     """
-    import pandas as pd
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[Member]:
         for batch in batches:
-            for full, content in zip(batch["path"], batch["content"]):
-                name = full.rsplit("/", 1)[-1]
+            for full, content in zip(*batch.columns):
+                name, data = full.as_py().rsplit("/", 1)[-1], io.BytesIO(content.as_py())
                 try:
-                    found = (Member(f"{name}_extracted/{m.path}", m.data, m.error) for m in members(name, io.BytesIO(content))) if is_archive(name) else [Member(name, io.BytesIO(content))]
-                    for m in found:
-                        if m.error:
-                            rows.append((m.path, 0, "", m.error))
-                        for n, line, error in lines_of(m.path, m.data):
-                            rows.append((m.path, n, line, error or None))
-                            if len(rows) == 20_000:
-                                yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
-                                rows = []
+                    if is_archive(name):
+                        yield from (Member(f"{name}_extracted/{m.path}", m.data, m.error) for m in members(name, data))
+                    else:
+                        yield Member(name, data)
                 except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error) as e:
-                    rows.append((name, 0, "", f"LP_ARCHIVE_READ_FAILED: {e}"))
-        yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
+                    yield Member(name, io.BytesIO(), f"LP_ARCHIVE_READ_FAILED: {e}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from line_batches(found(batches))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

@@ -22,10 +22,12 @@ def streaming_periods(stamps: DataFrame, slot: str, ts: str, gap_seconds: int, l
 def streaming_segments(entries: DataFrame, ts: str, late: str, gap_seconds: int = 30) -> DataFrame:
     """Closed candidate segments of each slot: a gap of ``gap_seconds`` or more ends one.
 
-    The state of a slot is its open segment.  It is emitted when a row behind the gap comes, or when the
+    The state of a slot is the number of its next segment and, if there is one, its open segment; the number
+    stays for as long as the query runs, so (slot, segment) names one segment but for -1.  It is emitted when a row behind the gap comes, or when the
     watermark has passed its end by the gap.  Rows of one micro-batch are sorted; rows that come so late
     that their segment is closed are counted to the open one if they are near it, else they are a
-    segment of their own.
+    segment of their own with the number -1.  Rows without a time are left out; rows behind the watermark
+    are dropped by Spark, whose progress reports count them.
     """
     gap = gap_seconds * 1_000_000
 
@@ -33,7 +35,7 @@ def streaming_segments(entries: DataFrame, ts: str, late: str, gap_seconds: int
         done: list[tuple] = []
         segment, start, end, count = state.get if state.exists else (0, None, None, 0)
         if state.hasTimedOut:
-            state.remove()
+            state.update((segment + 1, None, None, 0))
             yield pd.DataFrame([(key[0], segment, start, end, count)], columns=["slot", "segment", "start_us", "end_us", "log_count"])
             return
         stamps = sorted(int(v) for p in parts for v in p["ts_us"])
@@ -52,5 +54,5 @@ def streaming_segments(entries: DataFrame, ts: str, late: str, gap_seconds: int
         state.setTimeoutTimestamp(max(end // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=["slot", "segment", "start_us", "end_us", "log_count"])
 
-    rows = entries.withWatermark(ts, late).withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = entries.filter(F.col(ts).isNotNull()).withWatermark(ts, late).withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp")))
     return rows.groupBy("slot").applyInPandasWithState(run, SEGMENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

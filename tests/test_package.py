@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import tarfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,7 @@ def test_folders_tars_and_broken_files(spark, tmp_path):
     (tmp_path / "p/t.tgz").write_bytes(out.getvalue())
     (tmp_path / "p/bad.zip").unlink()
     rows = read_package(spark, str(tmp_path / "p")).collect()
+    assert [(r.path, r.line) for r in rows if (r.error or "").startswith("LP_ARCHIVE_MEMBER_REFUSED: '../out.log'")] == [("t.tgz_extracted/t.tgz", "")]
     lines = {(r.path, r.line) for r in rows if not r.error and r.path != "b.log.gz"}
     assert lines == {("diag/slot_1/a.log", "one"), ("diag/slot_1/a.log", "two"), ("t.tgz_extracted/in.log", "tar")}
     broken = [r for r in rows if r.path == "b.log.gz"]
@@ -178,6 +180,23 @@ def test_folders_tars_and_broken_files(spark, tmp_path):
     assert overlap(str(tmp_path), str(tmp_path / "p")) and not overlap(str(tmp_path / "p"), str(tmp_path / "q"))
 
 
+def test_refused_members_are_told(spark, tmp_path):
+    """A member with an unsafe name or beyond the ratio gives an error row, in the outer archive and in a nested one."""
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("ok.log", "fine\n")
+        z.writestr("zeros.log", "0" * 2_000_000)
+    with zipfile.ZipFile(tmp_path / "p.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("../up.log", "x\n")
+        z.writestr("zeros.log", "0" * 2_000_000)
+        z.writestr("in.zip", inner.getvalue())
+        z.writestr("many.log", "".join(f"line {i * i % 7919} {i}\n" for i in range(20_000)))
+    rows = read_package(spark, str(tmp_path / "p.zip")).collect()
+    assert sorted((r.path, r.error.split(" ")[1]) for r in rows if r.error) == [("in.zip_extracted/in.zip", "'zeros.log'"), ("p.zip", "'../up.log'"), ("p.zip", "'zeros.log'")]
+    assert [(r.path, r.line) for r in rows if r.path.endswith("ok.log")] == [("in.zip_extracted/ok.log", "fine")]
+    assert sorted(r.line_no for r in rows if r.path == "many.log") == list(range(20_000))
+
+
 def test_stored_packages_and_tables(spark, parsed, tmp_path):
     from slotwise.sources.archive import read_stored, read_text
 
@@ -186,8 +205,8 @@ def test_stored_packages_and_tables(spark, parsed, tmp_path):
     (tmp_path / "in/bad.zip").write_bytes(b"none")
     (tmp_path / "in/plain.log").write_bytes(b"a\nb\n")
     rows = read_stored(spark, str(tmp_path / "in")).collect()
-    assert ("plain.log", 1, "b", None) in {tuple(r) for r in rows} and [r.path for r in rows if r.error] == ["bad.zip"]
-    inside = {(r.path, r.line) for r in rows if r.path.startswith("p.zip_extracted/")}
+    assert ("plain.log", 1, "b", None) in {tuple(r) for r in rows} and sorted((r.path, r.error.split(":")[0]) for r in rows if r.error) == [("bad.zip", "LP_ARCHIVE_READ_FAILED"), ("p.zip_extracted/p.zip", "LP_ARCHIVE_MEMBER_REFUSED")]
+    inside = {(r.path, r.line) for r in rows if r.path.startswith("p.zip_extracted/") and not r.error}
     assert inside == {("p.zip_extracted/" + r.path, r.line) for r in parsed.lines.select("path", "line").collect()} | {i for i in inside if "notes" in i[0] or "diaglog_9" in i[0]}
     assert sorted(r.line for r in read_text(spark, str(tmp_path / "in/plain.log")).collect()) == ["a", "b"]
     rows = evidence.evidence(parsed.mechanisms["module1"], "EXAMPLE")

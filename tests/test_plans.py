@@ -154,3 +154,19 @@ def test_streams(spark, tmp_path):
     got = sorted((r.slot, r.start_us // 1_000_000 - 1_700_000_000, r.end_us // 1_000_000 - 1_700_000_000, r.log_count) for r in spark.table("segments").collect())
     assert ("1", 0, 39, 3) in got and ("1", 70, 70, 1) in got
     assert any(r.n >= 1 for r in spark.table("periods").collect())
+
+
+def test_stream_numbers_go_on_after_a_timeout(spark, tmp_path):
+    """A slot falls silent, its segment is closed by the watermark alone, and then the slot comes back."""
+    schema = "slot string, ts timestamp"
+    batches = [[("1", 0), ("1", 10)], [("2", 9000)], [("2", 9010)], [("1", 9020), ("1", 9100), (None, 9100), ("1", None)], [("2", 20000)], [("2", 20010)]]
+    made = str(tmp_path / "in")
+    stream = spark.readStream.schema(schema).parquet(made + "/*")
+    out = sessions.streaming_segments(stream, "ts", "10 seconds")
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "slot string, s long").select("slot", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+        df.coalesce(1).write.parquet(f"{made}/{i}")
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted((r.segment, r.start_us // 1_000_000 - 1_700_000_000, r.log_count) for r in spark.read.parquet(str(tmp_path / "out")).filter("slot = '1'").collect())
+    assert got == [(0, 0, 2), (1, 9020, 1), (2, 9100, 1)]
