@@ -40,8 +40,8 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by files in the shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a
-    temporary one is made.
+    The folder comes from ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a
+    temporary one is made.  On a cluster that is an error.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; see ``checkpointed``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slotwise-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 
