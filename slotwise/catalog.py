@@ -504,7 +504,8 @@ def s23(spark, d):
 
 @query("s32_name_shapes", "SELECT 'log_*_' || process_name || '.txt' AS shape, count(*) AS n FROM (SELECT DISTINCT process_name, pid FROM e) GROUP BY 1")
 def s32(spark, d):
-    names = event_entries(spark, d).select(F.concat(F.lit("log_"), F.lpad("pid", 4, "0"), F.lit("_"), "process_name", F.lit(".txt")).alias("name")).distinct()
+    number = F.when(F.length("pid") < 4, F.lpad("pid", 4, "0")).otherwise(F.col("pid"))  # lpad alone cuts longer ones
+    names = event_entries(spark, d).select(F.concat(F.lit("log_"), number, F.lit("_"), "process_name", F.lit(".txt")).alias("name")).distinct()
     return names.groupBy(text.name_shape(F.col("name")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
