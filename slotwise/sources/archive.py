@@ -1,8 +1,8 @@
 """Packages of logs as tables: archives, folders and single files, one row a line.
 
 ``slotwise_package`` is a Spark data source.  The driver lists top-level members (from zip directories and
-tar headers, without unpacking); each member, with everything nested in it, is one input partition, so
-members are read in parallel and nothing is written to local disks.
+folders, without unpacking); neighbouring ones, each with everything nested in it, are one input partition up to
+a bounded size, so members are read in parallel and nothing is written to local disks.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import re
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ SUFFIXES = (".tar.gz", ".tgz", ".tar", ".zip")
 SCHEMA = "path string, line_no long, line string, error string"
 #: Lines and characters of a batch at most, but for a single longer line.
 BATCH_LINES, BATCH_CHARS = 8192, 4 << 20
+#: Files and bytes of an input partition at most, but for a single larger file.
+PART_FILES, PART_BYTES = 2048, 8 << 20
 
 
 def is_safe_member(name: str) -> bool:
@@ -142,57 +145,95 @@ def line_batches(found: Iterator[Member]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def names_packed(names: list[str]) -> bytes:
+    """Names in a few bytes each, as partitions and commits of a million files go through the driver."""
+    return zlib.compress("\0".join(names).encode("utf-8", "surrogateescape"))
+
+
+def names_unpacked(packed: bytes) -> list[str]:
+    return zlib.decompress(packed).decode("utf-8", "surrogateescape").split("\0")
+
+
+def grouped(found: Iterable[tuple[str, int]]) -> Iterator[bytes]:
+    """Neighbouring names, with their sizes, in packed groups of bounded size."""
+    names: list[str] = []
+    held = 0
+    for name, size in found:
+        if names and (len(names) >= PART_FILES or held + size > PART_BYTES):
+            yield names_packed(names)
+            names, held = [], 0
+        names.append(name)
+        held += size
+    if names:
+        yield names_packed(names)
+
+
 @dataclass(frozen=True)
 class _Part(InputPartition):
+    """Packed names: files below a folder, or members of an archive; without names, a file or a whole tar."""
+
     file: str
-    member: str
+    names: bytes = b""
 
 
 class PackageReader(DataSourceReader):
-    """One partition a top-level member of an archive, or a file of a folder."""
+    """Partitions of neighbouring files of a folder, or top-level members of an archive."""
 
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[_Part]:
         if os.path.isdir(self.path):
-            return [_Part(f, "") for f in folder_files(self.path)]
-        if not is_archive(self.path):
-            return [_Part(self.path, "")]
+            return [_Part(self.path, g) for g in grouped(walked(self.path))]
         if self.path.lower().endswith(".zip"):
             with zipfile.ZipFile(self.path) as z:
-                return [_Part(self.path, i.filename) for i in z.infolist() if not i.is_dir()]
-        return [_Part(self.path, "*")]  # a tar has no directory: it is read from front to back
+                return [_Part(self.path, g) for g in grouped((i.filename, i.file_size) for i in z.infolist() if not i.is_dir())]
+        return [_Part(self.path)]  # a tar has no directory: it is read from front to back
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        yield from line_batches(self._found(part))
+
+    def _found(self, part: _Part) -> Iterator[Member]:
+        if os.path.isdir(part.file):
+            for name in names_unpacked(part.names):
+                with open(os.path.join(part.file, name), "rb") as f:
+                    yield from (Member(f"{name}_extracted/{m.path}", m.data, m.error) for m in members(name, f)) if is_archive(name) else (Member(name, f),)
+            return
         with open(part.file, "rb") as f:
-            if part.member == "*":
-                found = members(part.file, f)
-            elif part.member:
-                found = (m for m in _one_member(part.file, f, part.member))
+            if part.names:
+                with zipfile.ZipFile(f) as z:
+                    yield from chain.from_iterable(_zip_member(part.file, z, z.getinfo(name), 0) for name in names_unpacked(part.names))
             elif is_archive(part.file):
-                base = os.path.relpath(part.file, self.path)
-                found = (Member(f"{base}_extracted/{m.path}", m.data, m.error) for m in members(part.file, f))
+                yield from members(part.file, f)
             else:
-                root = self.path if os.path.isdir(self.path) else os.path.dirname(self.path)
-                found = iter([Member(os.path.relpath(part.file, root), f)])
-            yield from line_batches(found)
+                yield Member(os.path.basename(part.file), f)
+
+
+def walked(root: str, links: bool = False, hidden: bool = True) -> Iterator[tuple[str, int]]:
+    """(path below the folder, size) of its regular files, by path parts, a folder's names in memory at a time.
+
+    Unless ``links`` are followed they are refused, special files are left out.  Without ``hidden``, so are names that Spark's readers pass over.
+    """
 
+    def folder(at: str, prefix: str) -> Iterator[tuple[str, int]]:
+        with os.scandir(at) as found:
+            entries = sorted(found, key=lambda e: e.name)
+        for e in entries:
+            if not links and e.is_symlink():
+                raise ValueError(f"links are not allowed in a package: {e.path}")
+            if not hidden and (e.name.startswith(".") or (e.name.startswith("_") and "=" not in e.name) or e.name.endswith("._COPYING_")):
+                continue
+            if e.is_dir():
+                yield from folder(e.path, f"{prefix}{e.name}/")
+            elif e.is_file():
+                yield prefix + e.name, e.stat().st_size
 
-def _one_member(name: str, data, member: str) -> Iterator[Member]:
-    with zipfile.ZipFile(data) as z:
-        yield from _zip_member(name, z, z.getinfo(member), 0)
+    return folder(root, "")
 
 
 def folder_files(root: str) -> list[str]:
-    """Regular files under a folder, by path parts; links and special files are refused."""
-    out = []
-    for folder, names, files in os.walk(root):
-        for n in names + files:
-            if os.path.islink(os.path.join(folder, n)):
-                raise ValueError(f"links are not allowed in a package: {os.path.join(folder, n)}")
-        out += [os.path.join(folder, n) for n in files if os.path.isfile(os.path.join(folder, n))]
-    return sorted(out, key=lambda p: p.split(os.sep))
+    """Regular files under a folder, by path parts; links are refused, special files left out."""
+    return [os.path.join(root, *name.split("/")) for name, _ in walked(root)]
 
 
 class PackageSource(DataSource):
