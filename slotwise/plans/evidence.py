@@ -8,15 +8,19 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from slotwise.functions import text, times
 from slotwise.operators.lifecycle import merged_pidless
+from slotwise.plans import results
 from slotwise.plans.parse import MechanismResult, ParseResult
+from slotwise.sources.archive import grouped, names_packed, names_unpacked, walked
 
 ROOT = "mech_modules"
 #: What a task folder may hold.
@@ -58,8 +62,13 @@ def evidence(result: MechanismResult, module_name: str) -> DataFrame:
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, moves: list[tuple[str, str]]):
-        self.moves = moves
+    """The files of a task, as packed names, and the suffix that they have until all tasks have ended."""
+
+    def __init__(self, names: list[str], suffix: str):
+        self.names, self.suffix = names_packed(names) if names else b"", suffix
+
+    def targets(self) -> Iterator[str]:
+        return iter(names_unpacked(self.names) if self.names else ())
 
 
 class EvidenceWriter(DataSourceWriter):
@@ -69,7 +78,9 @@ class EvidenceWriter(DataSourceWriter):
         self.root, self.job = os.path.abspath(root), job
 
     def write(self, rows: Iterator) -> _Commit:
-        moves: dict[str, str] = {}
+        targets: dict[str, None] = {}
+        folders: set[str] = set()
+        suffix = f".{self.job}.{uuid.uuid4().hex}.part"
         out, now = None, None
         try:
             for row in rows:
@@ -77,26 +88,29 @@ class EvidenceWriter(DataSourceWriter):
                     if out:
                         out.close()
                     target = inside(self.root, row.path)
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    again = target in moves
-                    moves.setdefault(target, f"{target}.{self.job}.{uuid.uuid4().hex}.part")
-                    out, now = open(moves[target], "a" if again else "w", encoding="utf-8", newline=""), row.path
+                    folder = os.path.dirname(target)
+                    if folder not in folders:
+                        os.makedirs(folder, exist_ok=True)
+                        folders.add(folder)
+                    again = target in targets
+                    targets[target] = None
+                    out, now = open(target + suffix, "a" if again else "w", encoding="utf-8", newline=""), row.path
                 out.write(row.text + "\n")
         finally:
             if out:
                 out.close()
-        return _Commit([(part, target) for target, part in moves.items()])
+        return _Commit(list(targets), suffix)
 
     def commit(self, messages: list[_Commit | None]) -> None:
         for m in messages:
-            for part, target in m.moves if m else ():
-                os.replace(part, target)
+            for target in m.targets() if m else ():
+                os.replace(target + m.suffix, target)
 
     def abort(self, messages: list[_Commit | None]) -> None:
         for m in messages:
-            for part, _ in m.moves if m else ():
-                if os.path.exists(part):
-                    os.remove(part)
+            for target in m.targets() if m else ():
+                if os.path.exists(target + m.suffix):
+                    os.remove(target + m.suffix)
 
 
 class EvidenceSink(DataSource):
@@ -161,42 +175,42 @@ def reset_task(folder: str | Path, task_id: str) -> None:
 # -- documents --------------------------------------------------------------------------------------
 
 
-def process_index(result: MechanismResult) -> DataFrame:
-    """(slot, id, scope, cpu_id, parent_id, dir_name, start_us, end_us, processes): the cycles with their processes, no raw text."""
+def _with_processes(result: MechanismResult, gathered: bool) -> DataFrame:
+    """The cycles with their processes: one row each with a sorted list, or a row a process (null for a cycle without one)."""
     p = F.struct("process_name", "pid", "total_count", "missing_sequences")
+
+    def held(key: list[str]) -> DataFrame:
+        if gathered:
+            return result.processes.groupBy(*key).agg(F.sort_array(F.collect_list(p)).alias("processes"))
+        return result.processes.select(*key, p.alias("p"))
+
+    name = "processes" if gathered else "p"
     if result.lifecycles is not None:
-        held = result.processes.groupBy("cycle_id").agg(F.sort_array(F.collect_list(p)).alias("processes"))
-        return result.cycles.join(held, result.cycles["id"] == held["cycle_id"], "left").drop("cycle_id")
-    held = result.processes.groupBy("slot", "board_id", "own_id", "cpu_id").agg(F.sort_array(F.collect_list(p)).alias("processes")).alias("p")
+        found = held(["cycle_id"])
+        return result.cycles.join(found, result.cycles["id"] == found["cycle_id"], "left").drop("cycle_id")
+    found = held(["slot", "board_id", "own_id", "cpu_id"]).alias("p")
     c = result.cycles.alias("c")
-    out = c.join(held, F.expr("c.slot = p.slot and c.board_id <=> p.board_id and c.own_id <=> p.own_id and c.cpu_id = p.cpu_id"), "left")
+    out = c.join(found, F.expr("c.slot = p.slot and c.board_id <=> p.board_id and c.own_id <=> p.own_id and c.cpu_id = p.cpu_id"), "left")
     identity = F.concat_ws("/", F.coalesce("c.board_id", F.lit("open")), F.when(F.col("c.cpu_id") != "", F.concat(F.lit("cpu:"), "c.cpu_id", F.lit(":"), F.coalesce("c.own_id", F.lit("unknown")))))
     parent = F.when(F.col("c.cpu_id") == "", "").otherwise(F.coalesce("c.board_id", F.lit("open")))
-    return out.select("c.slot", identity.alias("id"), F.when(F.col("c.cpu_id") == "", "board").otherwise("cpu").alias("scope"), "c.cpu_id", parent.alias("parent_id"), "c.dir_name", "c.start_us", "c.end_us", "p.processes")
+    return out.select("c.slot", identity.alias("id"), F.when(F.col("c.cpu_id") == "", "board").otherwise("cpu").alias("scope"), "c.cpu_id", parent.alias("parent_id"), "c.dir_name", "c.start_us", "c.end_us", f"p.{name}")
 
 
-def result_document(results: dict[str, MechanismResult], names: dict[str, str]) -> dict:
+def process_index(result: MechanismResult) -> DataFrame:
+    """(slot, id, scope, cpu_id, parent_id, dir_name, start_us, end_us, processes): the cycles with their processes, no raw text."""
+    return _with_processes(result, True)
+
+
+def write_result(path: str | Path, mechanisms: dict[str, MechanismResult], names: dict[str, str]) -> None:
     """result.json: modules, slots, board cycles with their processes and CPU cycles.
 
-    Cycles and processes are the index, which is small beside the logs; Spark nests them a slot at a time.
+    Spark sorts and formats the processes; the driver writes them as they come, some at a time.
     """
     modules = []
-    for key, r in results.items():
-        if r.cycles is None:
-            modules.append({"module_key": key, "module_name": names[key], "status": r.status, "reason": r.reason, "slots": []})
-            continue
-        index = process_index(r)
-        iso = lambda c: times.iso(times.from_us(F.col(c)))
-        cycle = F.struct("id", "cpu_id", "dir_name", iso("start_us").alias("start_time"), iso("end_us").alias("end_time"), F.coalesce("processes", F.array().cast("array<struct<process_name:string,pid:string,total_count:bigint,missing_sequences:array<int>>>")).alias("processes"))
-        rows = index.select("slot", "scope", "parent_id", "start_us", cycle.alias("cycle"))
-        cpus = rows.filter("scope = 'cpu'").groupBy("slot", F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("cycle.cpu_id", "start_us", "cycle"))).alias("cpu"))
-        boards = rows.filter("scope = 'board'").select("slot", F.col("cycle.id").alias("id"), "start_us", "cycle").join(cpus, ["slot", "id"], "left")
-        slots = boards.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("start_us", "id", "cycle", "cpu"))).alias("boards")).orderBy("slot").toLocalIterator()
-        out = []
-        for s in slots:
-            out.append({"slot_id": s["slot"], "board_cycles": [b["cycle"].asDict(True) | {"cpu_cycles": [c["cycle"].asDict(True) for c in b["cpu"] or []]} for b in s["boards"]]})
-        modules.append({"module_key": key, "module_name": names[key], "status": r.status, "reason": r.reason, "slots": out})
-    return {"schema_version": 2, "mech_results": modules}
+    for key, r in mechanisms.items():
+        header = {"module_key": key, "module_name": names[key], "status": r.status, "reason": r.reason}
+        modules.append((header, iter(()) if r.cycles is None else results.cycle_lines(results.process_chunks(_with_processes(r, False)))))
+    results.write_lines(path, modules)
 
 
 def metadata_document(result: ParseResult) -> dict:
@@ -216,7 +230,7 @@ def write_task(spark: SparkSession, result: ParseResult, names: dict[str, str],
     for key, r in result.mechanisms.items():
         if r.placed is not None and r.cycles is not None:
             write_evidence(evidence(r, names[key]), folder)
-    write_json(Path(folder) / "result.json", result_document(result.mechanisms, names))
+    write_result(Path(folder) / "result.json", result.mechanisms, names)
     write_json(Path(folder) / "metadata.json", metadata_document(result))
     write_manifest(spark, folder, task_id, {k: r.status for k, r in result.mechanisms.items()})
 
@@ -230,22 +244,88 @@ def performance_document(stages: list[tuple[str, float, dict]], allowed: tuple[s
 # -- integrity --------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class _Files(InputPartition):
+    names: bytes
+
+
+class FilesReader(DataSourceReader):
+    """Names of files that Spark's readers would see, with sizes and hashes unless only names are asked for."""
+
+    def __init__(self, root: str, only: str):
+        self.root, self.only = os.path.abspath(root), only
+
+    def partitions(self) -> list[_Files]:
+        return [_Files(g) for g in grouped(walked(self.root, links=True, hidden=False))] or [_Files(b"")]
+
+    def read(self, part: _Files) -> Iterator[pa.RecordBatch]:
+        names = names_unpacked(part.names) if part.names else []
+        if self.only == "names":
+            rows = [(n, None, None) for n in names]
+        elif self.only == "compared":  # the manifest's hashes cover volatile values, so it is left out
+            rows = [(n, None, compared_hash(os.path.join(self.root, n), self.root)) for n in names if n not in ("parse_manifest.json", "performance.json")]
+        else:
+            rows = [(n, *file_hash(os.path.join(self.root, n))) for n in names]
+        columns = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["path", "size", "sha256"])
+
+
+class FilesSource(DataSource):
+    """``spark.read.format("slotwise_files").load(folder)``: path, size, sha256; option ``only`` is names, compared or unset."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "slotwise_files"
+
+    def schema(self) -> str:
+        return "path string, size long, sha256 string"
+
+    def reader(self, schema) -> FilesReader:
+        return FilesReader(self.options["path"], self.options.get("only", ""))
+
+
+def file_hash(path: str) -> tuple[int, str]:
+    """Size and SHA-256 of a file, read in blocks."""
+    with open(path, "rb") as f:
+        digest = hashlib.file_digest(f, "sha256")
+        return f.tell(), digest.hexdigest()
+
+
+def _files(spark: SparkSession, folder: str, only: str = "") -> DataFrame:
+    spark.dataSource.register(FilesSource)
+    return spark.read.format("slotwise_files").option("only", only).load(folder)
+
+
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, sha256) of every file of a folder, read in parallel."""
-    root = f"file:{os.path.abspath(folder)}"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.substring(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(len(root) + 2), F.length("path"))
-    return rows.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of every file of a folder, read in parallel, many small files in a task."""
+    return _files(spark, folder)
+
+
+def file_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of every file of a folder; none is opened."""
+    return _files(spark, folder, "names").select("path")
 
 
 def artifacts(files: DataFrame) -> DataFrame:
-    """(path, kind, size, sha256, file_count): top-level files, and folders by size, count and hash over their files in path order."""
+    """(path, kind, size, sha256, file_count): top-level files, and folders by size, count and hash over their files in path order.
+
+    A folder's hash runs over its sorted files one after another, so it is one task's work, but none holds them at once.
+    """
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[str, list] = {}
+        for b in batches:
+            for top, path, size, sha in zip(*(c.to_pylist() for c in b.columns)):
+                at = done.setdefault(top, [hashlib.sha256(), 0, 0])
+                at[0].update(f"{path[len(top) + 1:]}\0{sha}\n".encode())
+                at[1] += size
+                at[2] += 1
+        yield pa.RecordBatch.from_pylist([{"path": k, "kind": "directory", "size": n, "sha256": h.hexdigest(), "file_count": c} for k, (h, n, c) in done.items()], schema=pa.schema([("path", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("file_count", pa.int64())]))
+
     top = F.substring_index("path", "/", 1)
     rows = files.withColumn("top", top).withColumn("folder", top != F.col("path"))
-    line = F.concat(F.expr("substring(path, length(top) + 2)").cast("binary"), F.unhex(F.lit("00")), F.col("sha256").cast("binary"), F.unhex(F.lit("0A")))
-    folders = rows.filter("folder").groupBy(F.col("top").alias("path")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("file_count"), F.sort_array(F.collect_list(F.struct(F.split("path", "/").alias("k"), line.alias("v")))).alias("_h"))
-    hashed = F.sha2(F.aggregate("_h", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["v"])), 256)
-    folders = folders.select("path", F.lit("directory").alias("kind"), "size", hashed.alias("sha256"), "file_count")
+    inner = rows.filter("folder").select("top", "path", "size", "sha256").repartition("top").sortWithinPartitions("top", F.split("path", "/"))
+    folders = inner.mapInArrow(folded, "path string, kind string, size long, sha256 string, file_count long")
     return folders.unionByName(rows.filter(~F.col("folder")).select("path", F.lit("file").alias("kind"), "size", "sha256", F.lit(1).cast("long").alias("file_count")))
 
 
@@ -286,25 +366,22 @@ def normalised_json(text_: str, root: str) -> str:
     return json.dumps(plain(json.loads(text_)), sort_keys=True, ensure_ascii=False)
 
 
-def compare_outputs(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """(path, difference): files of only one side, and those whose content differs after volatile values are dropped."""
-
-    def listed(folder: str) -> DataFrame:
-        root = os.path.abspath(folder)
-
-        def run(batches):
-            import pandas as pd
-
-            for b in batches:
-                text_ = [normalised_json(c.decode(), root) if p.endswith(".json") else None for p, c in zip(b["path"], b["content"])]
-                yield pd.DataFrame({"path": b["path"], "hash": [hashlib.sha256(c if t is None else t.encode()).hexdigest() for t, c in zip(text_, b["content"])]})
+def compared_hash(path: str, root: str) -> str:
+    """The hash of a file's content; JSON without volatile values, a result in lines a line at a time."""
+    if not path.endswith(".json"):
+        return file_hash(path)[1]
+    if not results.is_lined(path):
+        return hashlib.sha256(normalised_json(Path(path).read_text(encoding="utf-8"), root).encode()).hexdigest()
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        for line in f:
+            digest.update(line.replace(root.encode(), b"<root>"))
+    return digest.hexdigest()
 
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + root + "/", "")
-        # The manifest's hashes cover volatile values, so it is left out.
-        return rows.select(path.alias("path"), "content").filter("path <> 'parse_manifest.json' and path <> 'performance.json'").mapInPandas(run, "path string, hash string")
 
-    l, r = listed(left).alias("l"), listed(right).alias("r")
+def compare_outputs(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """(path, difference): files of only one side, and those whose content differs after volatile values are dropped."""
+    l, r = (_files(spark, folder, "compared").filter("sha256 is not null").alias(side) for folder, side in ((left, "l"), (right, "r")))
     rows = l.join(r, F.col("l.path") == F.col("r.path"), "full_outer")
-    kind = F.when(F.col("r.path").isNull(), "only_left").when(F.col("l.path").isNull(), "only_right").when(F.col("l.hash") != F.col("r.hash"), "content")
+    kind = F.when(F.col("r.path").isNull(), "only_left").when(F.col("l.path").isNull(), "only_right").when(F.col("l.sha256") != F.col("r.sha256"), "content")
     return rows.select(F.coalesce("l.path", "r.path").alias("path"), kind.alias("difference")).filter("difference is not null")
