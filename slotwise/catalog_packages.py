@@ -58,7 +58,7 @@ _BUILT: dict[tuple[str, str], Built] = {}
 
 
 def built(spark: SparkSession, d: str) -> Built:
-    """The package of a table folder: ``logs`` (plain files), packed as zip, tar.gz, nested zip and gz."""
+    """The package of a table folder: ``logs`` (plain files), from which ``packed`` makes zip, tar.gz, nested zip and gz."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BUILT:
         root = f"{shared_dir(spark).removeprefix('file://')}/slotwise-package-{uuid.uuid4().hex}"
@@ -68,23 +68,37 @@ def built(spark: SparkSession, d: str) -> Built:
         os.makedirs(logs)
         rows = families.select(path.alias("path"), F.col("line").alias("text"), i.alias("ts_us"), F.lit(0).alias("sequence"), F.lit("").alias("source_file"), F.lit("").alias("raw"))
         evidence.write_evidence(rows, logs)
-        files = [os.path.relpath(f, logs) for f in archive.folder_files(logs)]
-        with zipfile.ZipFile(f"{root}/plain.zip", "w", zipfile.ZIP_DEFLATED) as z, tarfile.open(f"{root}/plain.tar.gz", "w:gz") as t:
+        _BUILT[key] = Built(root)
+    return _BUILT[key]
+
+
+def packed(root: str, name: str) -> str:
+    """The path of the logs' folder, one of its files, or an archive of them, which is made when first asked for."""
+    path, logs = f"{root}/{name}", f"{root}/logs"
+    if os.path.exists(path):
+        return path
+    files = [os.path.relpath(f, logs) for f in archive.folder_files(logs)]
+    if name == "plain.zip":
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             for f in files:
                 z.write(f"{logs}/{f}", f)
+    elif name == "plain.tar.gz":
+        with tarfile.open(path, "w:gz") as t:
+            for f in files:
                 t.add(f"{logs}/{f}", f)
-        with zipfile.ZipFile(f"{root}/nested.zip", "w") as z:
-            z.write(f"{root}/plain.zip", "deep/plain.zip")
-        for f in files:
-            with open(f"{logs}/{f}", "rb") as source, gzip.open(f"{root}/{f.replace('/', '-')}.gz", "wb") as packed:
-                shutil.copyfileobj(source, packed)
-        _BUILT[key] = Built(root)
-    return _BUILT[key]
+    elif name == "nested.zip":
+        with zipfile.ZipFile(path, "w") as z:
+            z.write(packed(root, "plain.zip"), "deep/plain.zip")
+    else:
+        f = next(f for f in files if name == f"{f.replace('/', '-')}.gz")
+        with open(f"{logs}/{f}", "rb") as source, gzip.open(path, "wb") as out:
+            shutil.copyfileobj(source, out)
+    return path
 
 
 def parsed(spark: SparkSession, d: str) -> ParseResult:
     b = built(spark, d)
-    b.parsed = b.parsed or parse(spark, f"{b.root}/plain.zip", PRODUCT)
+    b.parsed = b.parsed or parse(spark, packed(b.root, "plain.zip"), PRODUCT)
     return b.parsed
 
 
@@ -98,7 +112,7 @@ def task(spark: SparkSession, d: str) -> str:
 
 
 def _lines(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return archive.read_package(spark, f"{built(spark, d).root}/{name}")
+    return archive.read_package(spark, packed(built(spark, d).root, name))
 
 
 def _counted(lines: DataFrame, prefix: str = "") -> DataFrame:
@@ -265,7 +279,7 @@ def j20(spark, d):
     if not os.path.exists(f"{b.root}/again"):
         evidence.write_task(spark, parse(spark, f"{b.root}/logs", PRODUCT), {"module1": "EXAMPLE"}, f"{b.root}/again", "events")
     found = evidence.compare_outputs(spark, task(spark, d), f"{b.root}/again").agg(F.lit("differences").alias("what"), F.count(F.lit(1)).alias("n"))
-    files = evidence.file_hashes(spark, f"{b.root}/again").filter("path <> 'parse_manifest.json'").agg(F.lit("files").alias("what"), F.count(F.lit(1)).alias("n"))
+    files = evidence.file_names(spark, f"{b.root}/again").filter("path <> 'parse_manifest.json'").agg(F.lit("files").alias("what"), F.count(F.lit(1)).alias("n"))
     return found.unionByName(files)
 
 
@@ -287,16 +301,14 @@ def q02(spark, d):
 @query("q03_lifecycles", LINES + ", c AS (SELECT slot, count(*) AS cpus FROM own GROUP BY 1) SELECT CAST(slot AS VARCHAR) AS slot, dir_name, CAST(coalesce(cpus, 0) AS BIGINT) AS cpu_cycles FROM board LEFT JOIN c USING (slot)")
 def q03(spark, d):
     t = Task(spark, task(spark, d))
-    rows = [(s["slot"], b["dir_name"], len(b["cpu_cycles"])) for s in t.slots() for b in t.lifecycles(s["slot"])]
+    rows = [(s["slot"], b["dir_name"], len(b["cpu_cycles"])) for s in t.slots() for b in t.lifecycles(s["slot"], processes=False)]
     return spark.createDataFrame(rows, "slot string, dir_name string, cpu_cycles long")
 
 
 @query("q04_log_paths", LINES + "SELECT DISTINCT file AS path, TRUE AS there FROM log WHERE cpu_id = ''")
 def q04(spark, d):
     """The logs that the index names by slot, cycle and process."""
-    t = Task(spark, task(spark, d))
-    rows = [t.log_path("EXAMPLE", s["slot"], b["dir_name"], p["process_name"], p["pid"]) for s in t.slots() for b in t.lifecycles(s["slot"]) for p in b["processes"]]
-    return spark.createDataFrame([(os.path.relpath(p, t.folder), p.exists()) for p in rows], "path string, there boolean")
+    return Task(spark, task(spark, d)).log_paths().filter("cpu_id = ''").select("path", "there")
 
 
 _ANCHORS = "SELECT slot, process, pid, min(ts_us) AS at_us, any_value(file) AS file FROM log WHERE cpu_id = '' GROUP BY slot, process, pid"
@@ -310,7 +322,7 @@ def q05(spark, d):
     rows = parsed(spark, d).mechanisms["module1"].entries.filter("cpu_id = ''").groupBy("slot", "process_name", "pid").agg(F.min("ts_us").alias("at_us"))
     anchors = rows.select(F.concat_ws("/", "slot", "process_name", "pid").alias("anchor_id"), "at_us", F.lit("example").alias("module"), F.concat(F.lit("slot_"), "slot").alias("slot"), "process_name", "pid")
     t = Task(spark, task(spark, d))
-    logs = evidence.file_hashes(spark, str(t.folder)).select("path").filter(F.col("path").startswith(evidence.ROOT + "/"))
+    logs = evidence.file_names(spark, str(t.folder)).filter(F.col("path").startswith(evidence.ROOT + "/"))
     from slotwise.plans import target
 
     return target.resolve(anchors, t.index(), logs).select(F.col("anchor_id").alias("label"), "match_status", "log_path")

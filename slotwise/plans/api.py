@@ -11,14 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import times
-from slotwise.plans import evidence, target
+from slotwise.plans import evidence, results, target
 from slotwise.plans.names import log_file_name, safe_segment
 from slotwise.sources.artifacts import read_artifact
 
-INDEX = """module_key string, module_name string, slot string, id string, scope string, cpu_id string, parent_id string, dir_name string, start_time string, end_time string,
-processes array<struct<process_name:string,pid:string,total_count:bigint,missing_sequences:array<int>>>"""
-
-
 class Task:
     """A task folder; its documents are read when asked for."""
 
@@ -38,32 +34,50 @@ class Task:
         name = slot.removeprefix("slot_")
         return next((s for s in self.slots() if s["slot"] == name), None)
 
+    def _mechanisms(self, slot: str | None = None, processes: bool = False) -> list[dict]:
+        """``mech_results`` with the headers of all slots, of which only ``slot`` has cycles; a result in lines is never held whole."""
+        path = self.folder / "result.json"
+        if not results.is_lined(path):
+            return self.result()["mech_results"]
+        out: list[dict] = []
+        for kind, header, begin, end in results.scan(path):
+            if kind == "module":
+                out.append(header | {"slots": []})
+            elif kind == "slot":
+                out[-1]["slots"].append(header | {"board_cycles": []})
+            elif out[-1]["slots"][-1]["slot_id"] == slot:
+                cycle = header | {"processes": list(results.processes_in(path, begin, end)) if processes else []}
+                boards = out[-1]["slots"][-1]["board_cycles"]
+                if kind == "board":
+                    boards.append(cycle | {"cpu_cycles": []})
+                else:
+                    boards[-1]["cpu_cycles"].append(cycle)
+        return out
+
     def modules(self) -> list[dict]:
-        return [{k: m[k] for k in ("module_key", "module_name", "status")} for m in self.result()["mech_results"]]
+        return [{k: m[k] for k in ("module_key", "module_name", "status")} for m in self._mechanisms()]
 
     def module_slots(self, module: str) -> list[str]:
-        return [s["slot_id"] for m in self.result()["mech_results"] if module in (m["module_key"], m["module_name"]) for s in m["slots"]]
+        return [s["slot_id"] for m in self._mechanisms() if module in (m["module_key"], m["module_name"]) for s in m["slots"]]
 
-    def lifecycles(self, slot: str) -> list[dict]:
-        """Board cycles of a slot, over all modules."""
+    def lifecycles(self, slot: str, processes: bool = True) -> list[dict]:
+        """Board cycles of a slot, over all modules, on request without their processes."""
         name = slot.removeprefix("slot_")
-        return [b | {"module_key": m["module_key"]} for m in self.result()["mech_results"] for s in m["slots"] if s["slot_id"] == name for b in s["board_cycles"]]
+        return [b | {"module_key": m["module_key"]} for m in self._mechanisms(name, processes) for s in m["slots"] if s["slot_id"] == name for b in s["board_cycles"]]
+
+    def log_paths(self) -> DataFrame:
+        """(module_name, slot, cpu_id, cycle_id, process_name, pid, path, there): the log of each process, for as many as there are."""
+        files = evidence.file_names(self.spark, str(self.folder)).select("path", F.lit(True).alias("_there"))
+        rows = target.candidates(self.index()).withColumnRenamed("log_path", "path").join(files, "path", "left")
+        return rows.select("module_name", "slot", "cpu_id", "cycle_id", "process_name", "pid", "path", F.col("_there").isNotNull().alias("there"))
 
     def log_path(self, module: str, slot: str, board: str, process: str, pid: str = "", cpu: str = "", cpu_cycle: str = "") -> Path:
         parts = [evidence.ROOT, safe_segment(module), f"slot_{safe_segment(slot)}", safe_segment(board)] + ([f"cpu_{safe_segment(cpu)}", safe_segment(cpu_cycle)] if cpu else [])
         return self.folder.joinpath(*parts, log_file_name(process, pid))
 
     def index(self) -> DataFrame:
-        """The cycle index as a table; see ``evidence.process_index``."""
-        rows = []
-        for m in self.result()["mech_results"]:
-            for s in m["slots"]:
-                for b in s["board_cycles"]:
-                    for c, scope, parent in [(b, "board", ""), *((c, "cpu", b["id"]) for c in b["cpu_cycles"])]:
-                        rows.append((m["module_key"], m["module_name"], s["slot_id"], c["id"], scope, c["cpu_id"], parent, c["dir_name"], c["start_time"], c["end_time"], [tuple(p[k] for k in ("process_name", "pid", "total_count", "missing_sequences")) for p in c["processes"]]))
-        df = self.spark.createDataFrame(rows, INDEX)
-        us = lambda c: times.parsed(F.col(c))["ts_us"]
-        return df.withColumn("start_us", us("start_time")).withColumn("end_us", us("end_time")).drop("start_time", "end_time")
+        """The cycle index as a table; see ``results.index_table``."""
+        return results.index_table(self.spark, self.folder / "result.json")
 
     def target_logs(self, anchors: list[dict], explain: bool = False) -> list[dict]:
         """The log that covers each anchor's problem time: module, slot, process_name, problem_time and perhaps pid and label."""
@@ -72,7 +86,7 @@ class Task:
         # Cycles hold local times, so an offset of the problem time is left out of the comparison.
         stamp = times.parsed_loose(F.col("problem_time"))
         df = df.withColumn("at_us", stamp["ts_us"] + F.coalesce(stamp["tz_offset_s"], F.lit(0)).cast("long") * 1_000_000)
-        logs = evidence.file_hashes(self.spark, str(self.folder)).select("path").filter(F.col("path").startswith(evidence.ROOT + "/"))
+        logs = evidence.file_names(self.spark, str(self.folder)).filter(F.col("path").startswith(evidence.ROOT + "/"))
         found = sorted(target.resolve(df, self.index(), logs).collect(), key=lambda r: r["anchor_id"])
         return [target.payload(r, {k: v for k, v in anchors[r["anchor_id"]].items() if k != "problem_time"} | {"label": anchors[r["anchor_id"]].get("label") or anchors[r["anchor_id"]]["process_name"]}, explain) for r in found]
 

@@ -19,7 +19,7 @@ def candidates(index: DataFrame) -> DataFrame:
 
     ``index`` is ``evidence.process_index`` of one or more modules with module_key and module_name.
     """
-    boards = index.filter("scope = 'board'").select("module_key", "slot", F.col("id").alias("_b"), F.col("dir_name").alias("_board"))
+    boards = index.filter("scope = 'board'").select("module_key", "slot", F.col("id").alias("_b"), F.col("dir_name").alias("_board")).distinct()
     rows = index.withColumn("_b", F.when(F.col("scope") == "board", F.col("id")).otherwise(F.col("parent_id"))).join(boards, ["module_key", "slot", "_b"])
     rows = rows.withColumn("p", F.explode("processes"))
     cpu = F.coalesce("cpu_id", F.lit(""))
