@@ -12,7 +12,8 @@ from slotwise.functions import text, times
 from slotwise.functions.patterns import portable
 from slotwise.operators.aggregates import line_ranges, line_window, within_bytes
 from slotwise.operators.extract import TIMESTAMP
-from slotwise.plans.evidence import ROOT, file_hashes, index_against_files, verify_manifest, write_atomic, write_json
+from slotwise.plans import results, target
+from slotwise.plans.evidence import ROOT, file_names, index_against_files, verify_manifest, write_atomic, write_json
 from slotwise.sources.artifacts import ArtifactError, checked_shape, read_artifact
 
 #: Which code is told first, and bounds of the deep windows.
@@ -50,10 +51,14 @@ def index_paths(result: dict) -> list[str]:
 def artifact_check(spark: SparkSession, folder: str) -> DataFrame:
     """(code, severity, message) of everything wrong with a folder; one row LP_DFX_OK if nothing is."""
     found: list[tuple] = []
-    root, result = Path(folder), None
+    root, result, paths, boards = Path(folder), None, None, False
     shapes = {"result.json": ("LP_RESULT", (2,), {"mech_results": [dict]}), "metadata.json": ("LP_METADATA", (2,), {"coverage": dict}), "parse_manifest.json": ("LP_MANIFEST", (1,), {"artifacts": [dict], "task_id": str})}
     for name, (code, versions, shape) in shapes.items():
         try:
+            if name == "result.json" and results.is_lined(root / name):
+                boards = any([kind == "board" for kind, *_ in results.scan(root / name, strict=True)])  # a list: all of it is read
+                paths = target.candidates(results.index_table(spark, root / name)).select(F.col("log_path").alias("path"))
+                continue
             data = checked_shape(read_artifact(root / name, versions), {k: v if isinstance(v, list) else v for k, v in shape.items()})
             result = data if name == "result.json" else result
         except ArtifactError as e:
@@ -67,10 +72,12 @@ def artifact_check(spark: SparkSession, folder: str) -> DataFrame:
             found.append(("LP_PERFORMANCE_INVALID", "warning", str(e)))
     issues = spark.createDataFrame(found, ISSUE)
     if result is not None:
-        if not any(s["board_cycles"] for m in result["mech_results"] for s in m["slots"]):
-            issues = issues.unionByName(spark.createDataFrame([("LP_V3_MISSING", "warning", "no lifecycles in result.json")], ISSUE))
-        files = file_hashes(spark, folder).filter(F.col("path").startswith(ROOT + "/"))
+        boards = any(s["board_cycles"] for m in result["mech_results"] for s in m["slots"])
         paths = spark.createDataFrame([(p,) for p in index_paths(result)], "path string")
+    if paths is not None:
+        if not boards:
+            issues = issues.unionByName(spark.createDataFrame([("LP_V3_MISSING", "warning", "no lifecycles in result.json")], ISSUE))
+        files = file_names(spark, folder).filter(F.col("path").startswith(ROOT + "/"))
         differ = index_against_files(paths, files)
         code = F.when(F.col("problem") == "missing", "LP_TARGET_LOG_MISSING").otherwise("LP_EVIDENCE_ORPHAN")
         issues = issues.unionByName(differ.select(code.alias("code"), F.lit("warning").alias("severity"), F.concat("problem", F.lit(": "), "path").alias("message")))
